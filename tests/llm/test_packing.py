@@ -1,0 +1,77 @@
+import struct
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from tickloom.llm import packing
+from tickloom.llm.queries import op8_best_fit_packing, tokenizer_path
+
+SCHEMA = "doc_id bigint, text string, shard string"
+
+
+def brute_ids(text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    t.encode_special_tokens = True
+    return t.encode(text or "", add_special_tokens=False).ids + [1]
+
+
+def check(rows, placed, cap=4096):
+    want = []
+    for doc_id, text in rows:
+        ids = brute_ids(text)
+        for k, at in enumerate(range(0, len(ids), cap)):
+            part = ids[at : at + cap]
+            want.append((doc_id, k, at, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part))))
+    assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in placed), key=str) == sorted(want, key=str)
+    bins = defaultdict(list)
+    for r in placed:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= cap
+    return len(bins), sum(w[3] for w in want)
+
+
+def test_query(spark, sf):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    n, tokens = check(rows, op8_best_fit_packing(spark, sf).collect())
+    assert n <= 1.05 * tokens / 4096 + 1
+
+
+def test_defined_cases(spark):
+    rows = [(1, None), (2, ""), (3, "a, b. <|endoftext|> 'll don't x1.,é́  ΑΣ ΑΣ. ab., 9. ź."), (3, "twice"), (3, "twice"), (None, "x" * 50_000), (5, "long words " * 30_000)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], SCHEMA)
+    check(rows, packing.pack_documents(docs, tokenizer_path()).collect())
+    assert packing.pack_documents(docs.where("false"), tokenizer_path()).count() == 0
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_every_capacity_holds(rule):
+    lengths = np.random.default_rng(1).integers(1, 400, 800)
+    bins, offsets = packing.best_fit(lengths, (1000.0, 6.0, 90_000.0 * 2), rule=rule)
+    for b in set(bins):
+        mine = lengths[bins == b]
+        assert mine.sum() <= 1000 and len(mine) <= 6 and np.square(mine).sum() <= 180_000
+        assert sorted(offsets[bins == b]) == [0, *np.cumsum(mine[np.argsort(offsets[bins == b])])[:-1]]
+    with pytest.raises(ValueError):
+        packing.best_fit(np.array([5]), (4.0, 1.0, 100.0))
+
+
+def test_best_fit_fills():
+    lengths = np.random.default_rng(2).integers(1, 4096, 5000)
+    bins, _ = packing.best_fit(lengths, (4096.0, 4096.0, 4096.0**2))
+    assert bins.max() + 1 <= 1.02 * lengths.sum() / 4096 + 1
+
+
+def test_cache_turns_over(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 6)
+    e = packing.ChunkEncoder(tokenizer_path())
+    for text in ["one two three, four.", "five six one", "two, three seven eight.", "one two three, four."]:
+        assert np.frombuffer(e(text), dtype="<u4").tolist() == brute_ids(text)[:-1]

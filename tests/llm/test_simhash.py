@@ -1,0 +1,99 @@
+from collections import defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tickloom.llm import simhash
+from tickloom.llm.queries import op2_simhash_near_dedup
+
+SCHEMA = "doc_id bigint, text string, fp string, component_id string"
+
+
+def brute_fingerprint(text):
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\f\r":
+        text = text.replace(c, " ")
+    words = [w for w in text.split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(ids, fps):
+    root = list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2:
+                root[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, d in enumerate(ids):
+        if d is not None:
+            least[find(i)].append(d)
+    return [min(least[find(i)], default=None) for i in range(len(ids))]
+
+
+def test_query_against_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    fps = [brute_fingerprint(r["text"]) for r in rows]
+    want = {r["doc_id"]: (f"{fp:016x}", c) for r, fp, c in zip(rows, fps, brute_components([r["doc_id"] for r in rows], fps))}
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in op2_simhash_near_dedup(spark, sf).collect()}
+    assert got == want
+    assert len({c for _, c in want.values()}) < len(want)
+
+
+@pytest.mark.parametrize("text", ["", " \n", "a", "A b", "é x y z", "a\x1cb c d", "x " * 5000])
+def test_fingerprint(text):
+    assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
+
+
+@pytest.mark.parametrize("n, flips, leaves", [(3000, 0, 1), (3000, 4, 16), (2500, 2, 40), (40, 1, 3)])
+def test_shards_find_every_pair(n, flips, leaves):
+    """Random fingerprints, and a ball of others about each of a few: components over shards are those of all pairs."""
+    rng = np.random.default_rng(n + flips)
+    fps = rng.integers(0, 2**63, n, dtype=np.int64).view(np.uint64)
+    for i in range(n // 2):
+        for b in rng.integers(0, 64, flips):
+            fps[i] = fps[i % 7] ^ (np.uint64(1) << np.uint64(b)) if flips == 1 else fps[i] if flips == 0 else (fps[i % 7] if b % flips == 0 else fps[i]) ^ (np.uint64(1) << np.uint64(b))
+    fps = np.unique(fps)
+    tree, made = simhash.grow(fps[:: max(1, len(fps) // 1000)], leaves, 2)
+    leaf, at, home = simhash.route(tree, fps, 2)
+    assert np.bincount(at[home], minlength=len(fps)).tolist() == [1] * len(fps)
+    links = simhash.Links(len(fps))
+    for k in range(made):
+        mine = at[leaf == k]
+        root = simhash.link_within(fps[mine], home[leaf == k], 2)
+        links.add(mine, mine[root])
+    want = simhash.Links(len(fps))
+    a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2)
+    want.add(a, b)
+    assert (links.root == want.root).all()
+
+
+def test_components(spark):
+    pairs = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (300, 200), (7, 7), (100, 200), (-5, 900)]
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert got == {**dict.fromkeys(range(1, 41), 1), **dict.fromkeys((100, 200, 300), 100), -5: -5, 900: -5}
+
+
+def test_defined_cases(spark):
+    long = "word " * 200_000
+    rows = [(1, "", "x", "y"), (2, None, None, None), (3, long, "x", "y"), (4, long, None, None), (None, long, "", ""), (4, long, None, None), (5, "one", "a", "b"), (None, "only here", "", "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (3, 3), (4, 3), (4, 3), (None, 3), (5, 5), (None, None)], key=str)
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, ""), (3, long), (5, "one"), (None, "only here")], key=str)
+    assert simhash.near_duplicates(docs.where("false")).count() == 0
+    assert simhash.one_of_each(docs.where("false")).count() == 0
+    assert simhash.one_of_each(docs.unionByName(docs)).where(F.col("doc_id") == 3).count() == 1
