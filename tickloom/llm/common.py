@@ -47,3 +47,9 @@ def word_count(text: Column) -> Column:
 def small_enough(df: DataFrame, row_bytes: int, bound: int = BROADCAST_BYTES) -> bool:
     """Whether df, counted, stays under the bound of what may be broadcast."""
     return df.limit(bound // row_bytes + 1).count() <= bound // row_bytes
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """A folder of any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, rules, simhash
+from . import chat, hmm, html, licenses, mixing, packing, parsing, rules, simhash, warc
+from .common import cut, delete, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +22,49 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: A conversation whose texts hold the template's own control strings.
+HARD_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)], rows.schema)
+    return chat.read_back(chat.format_trees(chat.conversations_of(rows.unionByName(hard))))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf_dir, "pages"), archive)
+    back = warc.read_archive(spark, archive).select(
+        warc.page_number(F.col("record_id")).alias("page_id"), "payload_bytes",
+        F.coalesce("computed_digest", "payload_digest").alias("payload_digest"), "record_type", warc.page_number(F.col("refers_to")).alias("refers_to"),
+    )
+    found = cut(back)
+    delete(spark, archive)
+    return found
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.fingerprint_with_next(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -48,7 +88,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_near_dedup, op8_best_fit_packing, op9_mixing, op10_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_chat_formatting, op2_simhash_near_dedup, op3_html_extraction, op4_warc, op5_license_scan, op6_hmm_scoring,
+        op7_document_fingerprints, op8_best_fit_packing, op9_mixing, op10_quality_rules,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
