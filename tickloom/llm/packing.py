@@ -30,7 +30,7 @@ END_ID = 1
 #: Pieces of a shard, about.
 SHARD_PIECES = 16384
 #: Chunks whose ids a Python worker keeps; beyond that the older half goes.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 1_000_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, row_hash bigint"
 PLACED = PIECES + ", sequence_id bigint, offset bigint"
 
@@ -53,47 +53,76 @@ class ChunkEncoder:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.ends = {c: self._ids([c])[0] for c in ".,"}
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _ids_of_letters(self, chunks: list[str]) -> list[bytes]:
+        """Of chunks that are one word each, in one call: a word ends with a token that says so."""
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (np.flatnonzero(self.is_end[ids]) + 1) * 4
+        if len(ends) != len(chunks):  # lower case has made another sign than a letter of one
+            return self._ids(chunks)
+        packed, ends = ids.tobytes(), ends.tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
+
     def _learn(self, missing: list[str]) -> None:
-        known, ends, whole = self.new, {}, []
+        known, ends, words, others = self.new, {}, {}, []
         for c in missing:
-            if len(c) > 1 and c[-1] in ".," and (stem := c[:-1]).isalpha():
+            if c.isalpha():
+                words[c] = None
+            elif len(c) > 1 and c[-1] in ".," and (stem := c[:-1]).isalpha():
                 ends[c] = stem
                 if stem not in known:
-                    whole.append(stem)
+                    words[stem] = None
             else:
-                whole.append(c)
-        whole = list(dict.fromkeys(whole))
-        for i in range(0, len(whole), 4096):
-            part = whole[i : i + 4096]
-            known.update(zip(part, self._ids(part)))
+                others.append(c)
+        for group, encode in ((list(words), self._ids_of_letters), (others, self._ids)):
+            for i in range(0, len(group), 4096):
+                part = group[i : i + 4096]
+                known.update(zip(part, encode(part)))
         for c, stem in ends.items():
             known[c] = known[stem] + self.ends[c[-1]]
 
-    def __call__(self, text: str | None) -> bytes:
-        chunks = (text or "").replace("\n", " ").split(" ")
-        new = self.new
-        try:
-            return b"".join([new[c] for c in chunks])
-        except KeyError:
-            pass
-        old, missing = self.old, {}
-        for c in chunks:
-            if c not in new:
-                if c in old:
-                    new[c] = old[c]
-                else:
-                    missing[c] = None
+    def learn(self, texts: list[list[str]]) -> None:
+        """All chunks of these texts."""
+        new, old, missing = self.new, self.old, {}
+        for chunks in texts:
+            for c in chunks:
+                if c not in new:
+                    if c in old:
+                        new[c] = old[c]
+                    else:
+                        missing[c] = None
         if missing:
             self._learn(list(missing))
-        ids = b"".join([new[c] for c in chunks])
+
+    def many(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Texts are learnt in groups, so that their new chunks are encoded in one call."""
+        group: list[list[str]] = []
+        size = 0
+        for text in texts:
+            group.append((text or "").replace("\n", " ").split(" "))
+            size += len(group[-1])
+            if size > 50_000:
+                yield from self._encoded(group)
+                group, size = [], 0
+        yield from self._encoded(group)
+
+    def _encoded(self, texts: list[list[str]]) -> Iterator[bytes]:
+        self.learn(texts)
+        new = self.new
+        for chunks in texts:
+            yield b"".join([new[c] for c in chunks])
         if len(new) > CACHE_CHUNKS // 2:
             self.old, self.new = new, {}
-        return ids
+
+    def __call__(self, text: str | None) -> bytes:
+        return next(self._encoded([(text or "").replace("\n", " ").split(" ")]))
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -106,8 +135,8 @@ def _cut_pieces(batches: Iterator[pa.RecordBatch], path: str, max_tokens: int, e
     encode, end = encoder(path), np.uint32(end_id).astype("<u4").tobytes()
     for batch in batches:
         rows: list[list] = [[] for _ in range(5)]
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = encode(text.as_py()) + end
+        for doc_id, ids in zip(batch.column(0).to_pylist(), encode.many(batch.column(1).to_pylist())):
+            ids += end
             for piece, at in enumerate(range(0, len(ids), 4 * max_tokens)):
                 part = ids[at : at + 4 * max_tokens]
                 for column, v in zip(rows, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):
