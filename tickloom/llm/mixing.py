@@ -3,8 +3,9 @@
 Every document gets an exponential key -ln(u) / quality, u being a uniform number drawn from a hash of its id; the
 documents of a source with the smallest keys are a weighted sample without replacement. A source's budget of words is
 met by complete epochs and then by the documents in order of their keys, until the prefix sum of their sizes reaches
-what is left. Only DataFrame operations run; nothing is broadcast by hint and no source is gathered in one task: keys
-fall into buckets, the buckets' sums show in which one a budget ends, and only the rows of that bucket are ordered.
+what is left. Only DataFrame operations run, and no source is gathered in one task: keys fall into buckets, the buckets'
+sums show in which one a budget ends, and only the rows of that bucket are ordered. A source's budget comes down to the key
+of the last document taken; these keys are broadcast to the documents if their table, counted, is small, else joined.
 
 Defined cases. Null text: size 0. Null source: a source of its own, last in order. Null or negative quality: 1 and a
 tiny positive number. Repeated rows: each counts; equal keys are ordered by doc_id and then taken in any order, which
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import cut, small_enough, word_count
 
 #: Weights of sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -29,6 +30,11 @@ MOST_EPOCHS = 2
 BUCKET_ROWS = 4096
 
 
+def plausible(text: Column, size: Column) -> Column:
+    """A quality weight from a text alone: 1 for words of six code points in the mean, less the further off."""
+    return 1 / (1 + F.abs(F.length(F.coalesce(text, F.lit(""))) / F.greatest(size, F.lit(1)) - 6) / 2)
+
+
 def uniform(*of: Column) -> Column:
     """In (0, 1), from a hash."""
     return ((F.xxhash64(*of).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))).cast("double")
@@ -98,6 +104,9 @@ def mix_sources(
         .select(*key, "source_size", "target", "epochs", "_left", "_buckets", "_mean")
     )
 
+    if small_enough(targets, 256):
+        targets = F.broadcast(targets)
+
     def bucketed(rows: DataFrame, table: DataFrame) -> DataFrame:
         at = (1 - F.exp(-F.col("_key") * F.col("_mean"))) * F.col("_buckets")  # about uniform
         return rows.join(table, key).withColumn("_bucket", F.least(F.floor(at), F.col("_buckets") - 1).cast("long"))
@@ -122,7 +131,9 @@ def mix_sources(
         last.withColumn("_below", below).where(F.col("_below") + all_of / 2.0 <= F.col("_left"))
         .groupBy(*key).agg(F.max(F.struct("_key", "doc_id", "size")).alias("_bar"))
     )
-    targets = targets.join(bars, key, "left")
+    targets = cut(targets.join(bars, key, "left"))
+    if small_enough(targets, 256):  # then no document moves
+        targets = F.broadcast(targets)
     rows = bucketed(slim if not carry else sized, targets)
     in_last = (F.col("_bucket") == F.col("_end")) & F.coalesce(F.struct("_key", "doc_id", "size") <= F.col("_bar"), F.lit(False))
     once_more = F.coalesce((F.col("_bucket") < F.col("_end")) | in_last, F.lit(False))
