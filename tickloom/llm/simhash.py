@@ -245,11 +245,13 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, distance: int = DIST
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without all but the document of the smallest id of each component; rows that repeat id and text go as well."""
-    found = near_duplicates(docs, **options)
+    found = cut(near_duplicates(docs, **options))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_first")
     first = found.groupBy("root").agg(first).select(F.col("_first.doc_id").alias("_kept"), F.col("_first.text_hash").alias("_hash"))
     hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
     same = hashed["doc_id"].cast("long").eqNullSafe(first["_kept"]) & (hashed["_text_hash"] == first["_hash"])
-    again = Window.partitionBy("doc_id", "_text_hash").orderBy(F.lit(0))
-    there = hashed.join(first, same, "left_semi").withColumn("_nth", F.row_number().over(again))
-    return there.where("_nth = 1").select(*docs.columns)
+    there = hashed.join(first, same, "left_semi")
+    if found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():  # only then texts move once more
+        again = Window.partitionBy("doc_id", "_text_hash").orderBy(F.lit(0))
+        there = there.withColumn("_nth", F.row_number().over(again)).where("_nth = 1")
+    return there.select(*docs.columns)
