@@ -30,7 +30,9 @@ END_ID = 1
 #: Pieces of a shard, about.
 SHARD_PIECES = 16384
 #: Chunks whose ids a Python worker keeps; beyond that the older half goes.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 1_600_000
+#: Chunks that are looked up at once, about.
+GROUP_CHUNKS = 800_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, row_hash bigint"
 PLACED = PIECES + ", sequence_id bigint, offset bigint"
 
@@ -42,7 +44,7 @@ class ChunkEncoder:
 
     Holds for tokenizers that part at white space and drop it, as those of kind "BPE with word ends" do: the ids of a
     text are then those of its chunks in order. A chunk of letters with one comma or full stop at its end is in turn put
-    together from both.
+    together from both, and one of ASCII is looked up in lower case, to which the tokenizer would bring it.
     """
 
     def __init__(self, path: str):
@@ -70,37 +72,6 @@ class ChunkEncoder:
         packed, ends = ids.tobytes(), ends.tolist()
         return [packed[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _learn(self, missing: list[str]) -> None:
-        known, ends, words, others = self.new, {}, {}, []
-        for c in missing:
-            if c.isalpha():
-                words[c] = None
-            elif len(c) > 1 and c[-1] in ".," and (stem := c[:-1]).isalpha():
-                ends[c] = stem
-                if stem not in known:
-                    words[stem] = None
-            else:
-                others.append(c)
-        for group, encode in ((list(words), self._ids_of_letters), (others, self._ids)):
-            for i in range(0, len(group), 4096):
-                part = group[i : i + 4096]
-                known.update(zip(part, encode(part)))
-        for c, stem in ends.items():
-            known[c] = known[stem] + self.ends[c[-1]]
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """All chunks of these texts."""
-        new, old, missing = self.new, self.old, {}
-        for chunks in texts:
-            for c in chunks:
-                if c not in new:
-                    if c in old:
-                        new[c] = old[c]
-                    else:
-                        missing[c] = None
-        if missing:
-            self._learn(list(missing))
-
     def many(self, texts: list[str | None]) -> Iterator[bytes]:
         """Texts are learnt in groups, so that their new chunks are encoded in one call."""
         group: list[list[str]] = []
@@ -108,16 +79,43 @@ class ChunkEncoder:
         for text in texts:
             group.append((text or "").replace("\n", " ").split(" "))
             size += len(group[-1])
-            if size > 50_000:
+            if size > GROUP_CHUNKS:
                 yield from self._encoded(group)
                 group, size = [], 0
         yield from self._encoded(group)
 
     def _encoded(self, texts: list[list[str]]) -> Iterator[bytes]:
-        self.learn(texts)
-        new = self.new
+        new, old, ends = self.new, self.old, self.ends
+        found: dict[str, bytes] = {}
+        words: dict[str, None] = {}
+        others: dict[str, None] = {}
+        later: list[tuple[str, str, bytes]] = []
+        get = new.get
+        for c in set().union(*texts):
+            ids = get(c)
+            if ids is not None:
+                found[c] = ids
+                continue
+            key, end = c.lower() if c.isascii() else c, b""
+            if key[-1:] in ends and key[:-1].isalpha():
+                key, end = key[:-1], ends[key[-1]]
+            ids = get(key)
+            if ids is None:
+                ids = old.get(key)
+                if ids is None:
+                    later.append((c, key, end))
+                    (words if key.isalpha() else others)[key] = None
+                    continue
+                new[key] = ids
+            found[c] = ids + end
+        for group, encode in ((list(words), self._ids_of_letters), (list(others), self._ids)):
+            for i in range(0, len(group), 4096):
+                part = group[i : i + 4096]
+                new.update(zip(part, encode(part)))
+        for c, key, end in later:
+            found[c] = new[key] + end
         for chunks in texts:
-            yield b"".join([new[c] for c in chunks])
+            yield b"".join(map(found.__getitem__, chunks))
         if len(new) > CACHE_CHUNKS // 2:
             self.old, self.new = new, {}
 
