@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: For Java's regular expressions.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+#: Bytes of text that go to a Python worker at once, whatever the rows' length.
+BATCH_BYTES = 8 << 20
 #: Sides of at most so many bytes, as counted from their rows, may be broadcast.
 BROADCAST_BYTES = 8 << 20
 
@@ -44,6 +50,26 @@ def word_count(text: Column) -> Column:
     ).cast("long")
 
 
+def map_arrow(df: DataFrame, function, schema, rows: int = 4000) -> DataFrame:
+    """df.mapInArrow() with batches of bounded size, by rows and by bytes; the session keeps these settings."""
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", rows)):
+        df.sparkSession.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Gives memory that a Python worker no longer needs back to the system, as workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def small_enough(df: DataFrame, row_bytes: int, bound: int = BROADCAST_BYTES) -> bool:
     """Whether df, counted, stays under the bound of what may be broadcast."""
     return df.limit(bound // row_bytes + 1).count() <= bound // row_bytes

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, cut
+from .common import BROADCAST_BYTES, cut, map_arrow
 
 LOW_IMPORTANCE, LEAST_PAGES, FADE, DEEPEST = 0.3, 5, 0.9, 24
 
@@ -185,7 +185,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """host, path, n_pages, importance, most (the largest importance in its branch) of every node of the hosts' style trees."""
-    found = pages.select("url", "html").mapInArrow(_features, "host string, path string, kind string, hash bigint, n bigint")
+    found = map_arrow(pages.select("url", "html"), _features, "host string, path string, kind string, hash bigint, n bigint")
     counted = found.groupBy("host", "path", "kind", "hash").agg(F.sum("n").alias("n"))
     pages_there, entropy = F.sum("n"), F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
     nodes = counted.groupBy("host", "path", "kind").agg(
@@ -243,4 +243,4 @@ def extract_text(pages: DataFrame, low_importance: float = LOW_IMPORTANCE, least
         low = F.broadcast(low)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?i:[a-z][a-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     joined = pages.select(F.col("page_id").cast("long"), "url", "html").join(low, host == F.col("_host"), "left")
-    return joined.select("page_id", "url", "html", "_low").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
+    return map_arrow(joined.select("page_id", "url", "html", "_low"), _extract, "page_id bigint, url string, text string, n_chars bigint")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 RUN, WINDOW, LEAST_COVERAGE, WIDEST_BAND = 3, 2, 0.8, 12
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -209,4 +211,4 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     """A row for each match: doc_id, license, share of the template's words matched, their number, the template's number,
     and the span [start, end) in code points."""
     scanner = partial(_scan, templates=templates or TEMPLATES, least_coverage=least_coverage)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scanner, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), scanner, SCHEMA)

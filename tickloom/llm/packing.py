@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_arrow
 
 MAX_TOKENS = 4096
 END_ID = 1
@@ -196,7 +196,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, *, max_tokens: int = MAX_TOKENS,
     """doc_id, piece, start, length, ids_crc32 of every piece."""
     schema = PIECES.rpartition(",")[0]
     cutter = partial(_cut_pieces, path=tokenizer, max_tokens=max_tokens, end_id=end_id)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cutter, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), cutter, schema)
 
 
 def pack_documents(

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 #: Level: names kept. The lowest is kept for texts that have fewer than ENOUGH names on the next.
 KEPT = {3: 48, 2: 16, 1: 16}
 ENOUGH = 8
@@ -197,4 +199,4 @@ def fingerprint_with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> Data
     also = F.struct(ahead.alias("range"), F.lit(True).alias("ahead"))
     dealt = rows.withColumn("_to", F.explode(F.when(F.col("_key") == bound, F.array(own, also)).otherwise(F.array(own))))
     ordered = dealt.repartition("_to.range").sortWithinPartitions("_to.range", "_to.ahead", "_key", "text")
-    return ordered.select("_to.range", "_to.ahead", "doc_id", "text").mapInArrow(_paired, SCHEMA)
+    return map_arrow(ordered.select("_to.range", "_to.ahead", "doc_id", "text"), _paired, SCHEMA)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import map_arrow, words_of
 
 #: Documents of the sample on which costs and selectivities are measured, about.
 SAMPLE_ROWS = 2000
@@ -147,7 +147,7 @@ def plan_cascade(docs: DataFrame, rules: dict | None = None, sample_rows: int =
     sample = docs.select("text")
     if there > sample_rows:
         sample = sample.sample(min(1.0, sample_rows / there), seed)
-    measured = sample.mapInArrow(partial(_measure, rules=rules), "rule string, seconds double, failed bigint, n bigint")
+    measured = map_arrow(sample, partial(_measure, rules=rules), "rule string, seconds double, failed bigint, n bigint")
     found = {r["rule"]: r for r in measured.groupBy("rule").agg(*[F.sum(c).alias(c) for c in ("seconds", "failed", "n")]).collect()}
     plan = []
     for name in rules:
@@ -189,11 +189,11 @@ def judge_documents(docs: DataFrame, rules: dict | None = None, sample_rows: int
     """Each document's statistics, verdict and first failed rule."""
     rules = rules or RULES
     order = [p["rule"] for p in plan_cascade(docs, rules, sample_rows)]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_judge, order=order, rules=rules), STATS)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), partial(_judge, order=order, rules=rules), STATS)
 
 
 def keep_good(docs: DataFrame, rules: dict | None = None, sample_rows: int = SAMPLE_ROWS, column: str = "text") -> DataFrame:
     """The documents that pass all rules, with all their columns."""
     rules = rules or RULES
     order = [p["rule"] for p in plan_cascade(docs, rules, sample_rows)]
-    return docs.mapInArrow(partial(_keep, order=order, rules=rules, column=column), docs.schema)
+    return map_arrow(docs, partial(_keep, order=order, rules=rules, column=column), docs.schema)

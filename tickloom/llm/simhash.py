@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, words_of
+from .common import cut, map_arrow, words_of
 
 WORDS, DISTANCE, SEED = 3, 2, 42
 #: Fingerprints on which the tree of shards is grown, at most, and those that a shard should hold, about.
@@ -67,7 +67,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, seed: int) -> I
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) and text_hash, which tells apart texts of one id."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(partial(_fingerprints, words=words, seed=seed), "doc_id bigint, fp bigint, text_hash bigint")
+    return map_arrow(rows, partial(_fingerprints, words=words, seed=seed), "doc_id bigint, fp bigint, text_hash bigint")
 
 
 # The vantage-point tree. A node is (vantage, radius, inside, outside), a leaf its number.
@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, distance: int = DIST
     sample = heads.select("fp") if n <= SAMPLE else heads.select("fp").sample(SAMPLE / n, seed=1)
     known = np.array([r[0] for r in sample.limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
     tree, _ = grow(np.sort(known), leaves, distance)
-    visits = heads.select("fp").mapInArrow(partial(_route, tree=tree, distance=distance), "leaf bigint, fp bigint, home boolean")
+    visits = map_arrow(heads.select("fp"), partial(_route, tree=tree, distance=distance), "leaf bigint, fp bigint, home boolean")
     edges = visits.groupBy("leaf").applyInArrow(_leaf_links(distance), "a bigint, b bigint")
     roots = components(edges)
     rooted = heads.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
