@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, delete, shared_dir, words_of
+from .common import cut, delete, map_arrow, release, shared_dir, words_of
 
 STATES = 8
 #: Words with a class of their own, at most, and classes of other words by their last bytes.
@@ -33,7 +33,7 @@ OWN, ENDINGS, ENDING_BYTES = 4096, 2048, 3
 #: A word gets a class of its own only if it makes up this share of the tokens; there are 1 / LEAST_SHARE such words at most.
 LEAST_SHARE = 2e-5
 #: Tokens of a block, and of what is run through the recursions at once.
-BLOCK_TOKENS, GROUP_TOKENS = 4_000_000, 1_000_000
+BLOCK_TOKENS, GROUP_TOKENS = 2_500_000, 250_000
 #: The sample that Baum-Welch starts from: documents, tokens of each, rounds; then full rounds over all training documents.
 SAMPLE_DOCS, SAMPLE_TOKENS, SAMPLE_ROUNDS, ROUNDS = 1500, 1024, 25, 2
 END = b""
@@ -211,6 +211,7 @@ def _encode(n_tokens: int, n_distinct: int, totals: dict):
     kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
 
     def encode(docs: pa.Table, words: pa.Table) -> pa.Table:
+        release()
         number = words.column("number").to_numpy()
         count, of_class = np.empty(len(number), dtype=np.int64), np.empty(len(number), dtype=np.int64)
         count[number], of_class[number] = words.column("c").to_numpy(), words.column("class").to_numpy()
@@ -263,7 +264,7 @@ def score_documents(docs: DataFrame, *, is_held: Callable = held_out, states: in
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    blocks = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_blocks, is_held=is_held, block_tokens=block_tokens), BLOCKS), "blocks")
+    blocks = stored(map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), partial(_blocks, is_held=is_held, block_tokens=block_tokens), BLOCKS), "blocks")
     by_word = Window.partitionBy("word")
     words = blocks.where("word is not null").select("word", "block", "number", "n_train", "ending")
     words = words.withColumn("c", F.sum("n_train").over(by_word))
@@ -290,12 +291,12 @@ def score_documents(docs: DataFrame, *, is_held: Callable = held_out, states: in
     sample = training.orderBy(F.xxhash64("doc_id"), "classes").select(F.substring("classes", 1, 2 * SAMPLE_TOKENS).alias("classes")).limit(SAMPLE_DOCS).collect()
     model = first_model([np.frombuffer(bytes(r["classes"]), dtype="<u2") for r in sample], prior, states, SAMPLE_ROUNDS)
     for _ in range(rounds if n_tokens else 0):
-        counts = training.select("classes").mapInArrow(partial(_expect, model=model), "kind int, a int, b int, n double")
+        counts = map_arrow(training.select("classes"), partial(_expect, model=model), "kind int, a int, b int, n double", rows=16_000)
         starts, steps, emits = np.zeros((1, states)), np.zeros((states, states)), np.zeros((states, n_classes))
         # of fixed size: states * (1 + states + classes)
         for r in counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).toLocalIterator():
             (starts, steps, emits)[r["kind"]][r["a"], r["b"]] = r["n"]
         model = estimate(starts[0], steps, emits, prior)
-    scored = cut(encoded.mapInArrow(partial(_score, model=model, n_tokens=n_tokens), SCORES))
+    scored = cut(map_arrow(encoded, partial(_score, model=model, n_tokens=n_tokens), SCORES, rows=16_000))
     delete(spark, folder)
     return scored
