@@ -99,11 +99,11 @@ def branches(messages: DataFrame, top: int | None = 1) -> DataFrame:
     while len(jumps) <= rounds and jumps[-1].where("up is not null").limit(1).count():
         last = jumps[-1]
         above = last.select(F.col("tree").alias("_t"), F.col("message").alias("_m"), F.col("up").alias("_up"), F.col("sum").alias("_sum"), F.col("depth").alias("_depth"))
-        further = last.join(above, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("up") == F.col("_m")), "left")
-        jumps.append(cut(further.select(
-            "tree", "message", F.col("_up").alias("up"),
-            (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-        )))
+        # messages that have met their root are done
+        further = last.where("up is not null").join(above, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("up") == F.col("_m"))).select(
+            "tree", "message", F.col("_up").alias("up"), (F.col("sum") + F.col("_sum")).alias("sum"), (F.col("depth") + F.col("_depth")).alias("depth"),
+        )
+        jumps.append(cut(further.unionByName(last.where("up is null").select(*further.columns))))
     parents = jumps[0].where("up is not null").select(F.col("tree").alias("_t"), F.col("up").alias("_m"))
     leaves = jumps[-1].where("up is null").join(parents, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("message") == F.col("_m")), "left_anti")
     leaves = leaves.select("tree", F.col("message").alias("leaf"), F.col("sum").alias("score"), "depth")
@@ -116,8 +116,8 @@ def branches(messages: DataFrame, top: int | None = 1) -> DataFrame:
         step = jumps[k].where("up is not null").select(F.col("tree").alias("_t"), F.col("message").alias("_m"), "up")
         more = walk.join(step, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("message") == F.col("_m")))
         more = more.select("tree", "leaf", "score", "rank", F.col("up").alias("message"), (F.col("pos") - (1 << k)).alias("pos"))
-        walk = walk.unionByName(more)
-    return cut(walk)
+        walk = cut(walk.unionByName(more))  # else the plan doubles each time
+    return walk
 
 
 def format_trees(messages: DataFrame, top: int | None = 1) -> DataFrame:
