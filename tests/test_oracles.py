@@ -1,0 +1,49 @@
+"""Every query against its SQL, as the driver does it."""
+
+import math
+
+import duckdb
+import pytest
+
+from tickloom.plans.oracles import ORACLES
+from tickloom.plans.queries import QUERIES
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def con(sf):
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
+    return c
+
+
+def plain(rows):
+    def one(v):
+        if v is None or isinstance(v, float) and math.isnan(v):
+            return "null"
+        return f"{v + 0.0:.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+
+    return sorted(tuple(map(one, r)) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query(spark, sf, con, name):
+    got = QUERIES[name](spark, sf)
+    found = con.execute(ORACLES[name])
+    columns = [d[0] for d in found.description]
+    assert sorted(got.columns) == sorted(columns)
+    rows = plain(tuple(r) for r in got.select(*columns).collect())
+    assert rows == plain(found.fetchall()) and rows
+
+
+def test_all_but_the_random_ones_have_sql():
+    assert set(QUERIES) - set(ORACLES) == {"label_shuffle", "label_block_shuffle"}
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())

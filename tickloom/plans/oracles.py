@@ -221,7 +221,7 @@ ORACLES: dict[str, str] = {
         row_number() over (partition by event_type, user_id % 17 order by ts, event_id) as k from events) where k = 1""",
     "dataset_id": """select sym, substr(sha256(concat('raw:', string_agg(h, ',' order by h), chr(10), 'bar:15m', chr(10), 'feature:f1', chr(10), 'label:k2h30', chr(10), 'cost:c1', chr(10), 'git:', sym)), 1, 16) as dataset_id
         from (select distinct event_type as sym, substr(sha256(concat(event_type, ts::date::varchar)), 1, 32) as h from events) group by sym""",
-    "pacing_budget": f"""select source, {text_of('ts')} as ts, event_id, weight, used from (select *, sum(weight) over (partition by source order by epoch(ts)::bigint range between 599 preceding and current row)::bigint as used from (
+    "pacing_budget": f"""select source, {text_of('ts')} as ts, event_id, weight, used from (select *, sum(weight) over (partition by source order by floor(epoch(ts))::bigint range between 599 preceding and current row)::bigint as used from (
         select event_type as source, ts, event_id, (case when event_id % 3 = 0 then 2 else 1 end)::bigint as weight from events))""",
     "systematic_sample": sql(f"""select sym, {text_of('decision_ts')} as decision_ts, label from (select *, row_number() over (partition by sym order by decision_ts) - 1 as k from dataset
         where year(decision_ts) between 2021 and 2025) where k % 15 = 0 and ret_1b is not null and range_vol is not null"""),

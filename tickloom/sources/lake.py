@@ -59,7 +59,7 @@ class Lake:
         at = f"{self.root}/raw_snapshots"
         if not self._there(at):
             return self.spark.createDataFrame([], SNAPSHOT)
-        rows = self.spark.read.schema(StructType(SNAPSHOT.fields).add("date", "date")).parquet(at).drop("date")
+        rows = self.spark.read.schema(StructType([*SNAPSHOT.fields]).add("date", "date")).parquet(at).drop("date")
         for condition in (sym and F.col("sym") == sym, series and F.col("series") == series, ids is not None and F.col("snapshot_id").isin(list(ids or []))):
             if condition is not None and condition is not False and not isinstance(condition, str):
                 rows = rows.where(condition)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tickloom.operators.bars import SETTLING, SnapshotConflict, find_conflicts, latest_fetch_wins, ohlcv
 from tickloom.sources.lake import Lake
@@ -34,7 +35,7 @@ def merge_batch(lake: Lake, batch: DataFrame, layer: str = "live") -> None:
         dates = [r[0] for r in batch.select(F.to_date("ts")).distinct().collect()]
         rows = batch
         if lake._there(at):
-            there = lake.spark.read.schema(batch.schema.add("date", "date")).parquet(at).where(F.col("date").isin(dates)).drop("date")
+            there = lake.spark.read.schema(StructType([*batch.schema.fields]).add("date", "date")).parquet(at).where(F.col("date").isin(dates)).drop("date")
             rows = batch.unionByName(there)
         newest = rows.agg(F.max("fetch_ts")).first()[0]
         conflicts = find_conflicts(rows, newest - SETTLING)
