@@ -15,6 +15,7 @@ are not looked at.
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -34,7 +35,7 @@ OWN, ENDINGS, ENDING_BYTES = 4096, 2048, 3
 LEAST_SHARE = 2e-5
 #: Tokens of a block, and of what is run through the recursions at once.
 BLOCK_TOKENS, GROUP_TOKENS = 2_500_000, 250_000
-#: The sample that Baum-Welch starts from: documents, tokens of each, rounds; then full rounds over all training documents.
+#: The sample that Baum-Welch starts from: documents (about, twice as many at most), tokens of each, rounds; then full rounds over all training documents.
 SAMPLE_DOCS, SAMPLE_TOKENS, SAMPLE_ROUNDS, ROUNDS = 1500, 1024, 25, 2
 END = b""
 
@@ -271,7 +272,9 @@ def score_documents(docs: DataFrame, *, is_held: Callable = held_out, states: in
     words = stored(words.withColumn("first", F.row_number().over(by_word.orderBy("block")) == 1), "words")
     distinct = words.where(F.col("first") & (F.col("c") > 0))
     n_tokens, n_distinct = distinct.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = distinct.where(F.col("c") >= max(2.0, LEAST_SHARE * n_tokens)).select("word", "c", "ending").orderBy(F.desc("c"), "word").limit(OWN).collect()
+    # 1 / LEAST_SHARE words at most can be so common
+    common = distinct.where(F.col("c") >= max(2.0, LEAST_SHARE * n_tokens)).select("word", "c", "ending").collect()
+    top = sorted(common, key=lambda r: (-r["c"], bytes(r["word"])))[:OWN]
     own = len(top)
     n_classes = own + ENDINGS
     tokens, in_class = np.zeros(n_classes, dtype=np.int64), np.zeros(n_classes, dtype=np.int64)
@@ -288,8 +291,12 @@ def score_documents(docs: DataFrame, *, is_held: Callable = held_out, states: in
     there = blocks.where("ids is not null").select("block", "doc_id", "held_out", "ids")
     encoded = stored(there.groupBy("block").cogroup(classed.groupBy("block")).applyInArrow(encode, ENCODED), "encoded")
     training = encoded.where(~F.col("held_out")).select("doc_id", "classes")
-    sample = training.orderBy(F.xxhash64("doc_id"), "classes").select(F.substring("classes", 1, 2 * SAMPLE_TOKENS).alias("classes")).limit(SAMPLE_DOCS).collect()
-    model = first_model([np.frombuffer(bytes(r["classes"]), dtype="<u2") for r in sample], prior, states, SAMPLE_ROUNDS)
+    # by hash, so that each task sends a few rows alone
+    there = training.count()
+    drawn = F.pmod(F.xxhash64("doc_id", "classes"), F.lit(1 << 20)) < F.lit(math.ceil(SAMPLE_DOCS / max(1, there) * (1 << 20)))
+    first = training.where(drawn).select(F.substring("classes", 1, 2 * SAMPLE_TOKENS).alias("classes")).limit(2 * SAMPLE_DOCS)
+    sample = sorted(bytes(r["classes"]) for r in first.collect())
+    model = first_model([np.frombuffer(x, dtype="<u2") for x in sample], prior, states, SAMPLE_ROUNDS)
     for _ in range(rounds if n_tokens else 0):
         counts = map_arrow(training.select("classes"), partial(_expect, model=model), "kind int, a int, b int, n double", rows=16_000)
         starts, steps, emits = np.zeros((1, states)), np.zeros((states, states)), np.zeros((states, n_classes))
