@@ -104,10 +104,9 @@ def mix_sources(
         .select(*key, "source_size", "target", "epochs", "_left", "_buckets", "_mean")
     )
 
-    if small_enough(targets, 256):
-        targets = F.broadcast(targets)
-
     def bucketed(rows: DataFrame, table: DataFrame) -> DataFrame:
+        if small_enough(table, 256):  # then no document moves
+            table = F.broadcast(table)
         at = (1 - F.exp(-F.col("_key") * F.col("_mean"))) * F.col("_buckets")  # about uniform
         return rows.join(table, key).withColumn("_bucket", F.least(F.floor(at), F.col("_buckets") - 1).cast("long"))
 
@@ -132,8 +131,6 @@ def mix_sources(
         .groupBy(*key).agg(F.max(F.struct("_key", "doc_id", "size")).alias("_bar"))
     )
     targets = cut(targets.join(bars, key, "left"))
-    if small_enough(targets, 256):  # then no document moves
-        targets = F.broadcast(targets)
     rows = bucketed(slim if not carry else sized, targets)
     in_last = (F.col("_bucket") == F.col("_end")) & F.coalesce(F.struct("_key", "doc_id", "size") <= F.col("_bar"), F.lit(False))
     once_more = F.coalesce((F.col("_bucket") < F.col("_end")) | in_last, F.lit(False))
