@@ -255,3 +255,31 @@ def test_streamed_bars_append(spark, tmp_path):
     unique = streams.deduplicated(spark.readStream.schema(ticks.schema).parquet(str(tmp_path / "t")))
     unique.writeStream.format("memory").queryName("unique").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination()
     assert spark.table("unique").count() == 100
+
+
+def test_commands_from_ingest_to_dataset(spark, tmp_path, capsys):
+    from tickloom.__main__ import main
+    from tickloom.operators.bars import bars_frame
+
+    at, rows = datetime(2024, 1, 2, 14, 30, tzinfo=UTC), []
+    for d in range(4):
+        for m in range(60):
+            close = 100 + (m * 7 + d * 3) % 11 / 10
+            rows.append(("A", at + timedelta(days=d, minutes=m), close, close + 0.3, close - 0.3, close, 10.0 + m % 3, 2, close))
+    with pytest.raises(ValueError):
+        bars_frame(spark, [("A", datetime(2024, 1, 1), *rows[0][2:])])
+    bars_frame(spark, rows).write.parquet(str(tmp_path / "bars"))
+    values = sections()
+    values["storage"]["root"], values["bars"]["series"] = f"file://{tmp_path}/lake", ["TRADES", "BID_ASK"]
+    (tmp_path / "config").mkdir()
+    write(tmp_path / "config", values)
+    do = lambda command, *more: main([command, "--config", str(tmp_path / "config"), "--symbol", "A", *more], spark)
+    span = ("--bars", str(tmp_path / "bars"), "--start", "2024-01-01", "--end", "2024-01-06")
+    assert do("dataset", "--allow-dirty") == 2
+    assert do("ingest", *span) == 0 and do("ingest", "--series", "BID_ASK", *span) == 0 and do("status", "--end", "2024-03-01") == 1
+    assert do("validate") == do("features") == do("labels") == do("dataset", "--allow-dirty") == 0
+    lake = Lake(spark, values["storage"]["root"])
+    facts = lake.read_manifest("datasets", "A")
+    data = lake.read("datasets", "A")
+    assert facts["row_count"] == data.count() > 100 and {"ret_5b", "label", "minute_of_day"} <= set(data.columns)
+    assert do("report") == 0 and "Evidence: A" in capsys.readouterr().out

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from collections.abc import Sequence
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.calendar import tag_sessions
 from tickloom.operators.ordered import chunks, with_position
-from tickloom.schemas import VALUES
+from tickloom.schemas import BAR, VALUES
 
 HALT_MIN, MAX_RETURN, SETTLING = 5, 0.5, timedelta(days=2)
 
@@ -18,6 +19,14 @@ class SnapshotConflict(ValueError):
     """Deliveries disagree about settled bars."""
 
 
+def bars_frame(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
+    """Rows (sym, ts, open, high, low, close, volume, bar_count, wap) as bars; times must be aware, and become UTC."""
+    for r in rows:
+        if r[1].tzinfo is None:
+            raise ValueError(f"the time {r[1]} of {r[0]} has no zone")
+    return spark.createDataFrame([(r[0], r[1].astimezone(timezone.utc), *r[2:]) for r in rows], BAR)
+
+
 def ohlcv(ticks: DataFrame, step: str = "15 minutes", size: Column | None = None) -> DataFrame:
     """Tumbling bars of ticks(sym, ts, event_id, price); volume is the number of ticks, or the sum of size."""
     at = F.struct("ts", "event_id")

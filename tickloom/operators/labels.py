@@ -66,8 +66,8 @@ def label_generator(method: str, **parameters) -> LabelGenerator:
 
 def assemble_dataset(features: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels with the features of their decision bar; joined on the entry's time they would leak."""
-    known = features.withColumnRenamed("ts", "decision_ts")
-    return labels.join(known.drop("sigma"), ["sym", "decision_ts"], "left")
+    known = features.withColumnRenamed("ts", "decision_ts").drop("sigma")
+    return labels.join(known, ["sym", "decision_ts"], "left")
 
 
 def label_distribution(labels: DataFrame) -> DataFrame:

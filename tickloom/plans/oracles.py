@@ -236,3 +236,5 @@ ORACLES: dict[str, str] = {
     "vendor_times": f"select event_id, {text_of('''timezone('UTC', timezone('America/New_York', ts))''')} as ts from events where event_id % 50 = 0",
     "assembled": sql(f"""select sym, session, count(*) as n, sum(is_traded::int)::bigint as traded, sum(is_gap::int)::bigint as gaps, sum(is_halt::int)::bigint as halts from flagged group by sym, session"""),
 }
+ORACLES["decision_rules"] = f"""select sym, auc >= 0.5 + 3 * 0.0016 as beats_null, tail_accuracy >= breakeven_1x as tail_pays, breakeven_2x between 0.55 and 0.57 as floor_holds
+    from ({ORACLES['barrier_stats']}) join ({ORACLES['study_corr_sign']}) using (sym) join ({ORACLES['tail_accuracy']}) using (sym)"""

@@ -200,6 +200,15 @@ def barrier_stats(spark, sf):
     return rows.withColumns(even).select("sym", "n", *rounded("timeout_rate"), *rounded("barrier_bps", digits=5), *rounded("cross_day_rate"), *rounded("cost_bps", digits=6), *even)
 
 
+@query
+def decision_rules(spark, sf):
+    """The pre-declared verdicts over a study's rank metric, a tail's accuracy and the costs' breakeven."""
+    rows = barrier_stats(spark, sf).join(study_corr_sign(spark, sf).select("sym", "auc"), "sym").join(tail_accuracy(spark, sf), "sym")
+    rows = rows.withColumns({"null_mean": F.lit(0.5), "null_std": F.lit(0.0016)})
+    verdicts = quotes.decisions(rows, observed="auc", null_mean="null_mean", null_std="null_std", breakeven2="breakeven_2x", tail="tail_accuracy", breakeven1="breakeven_1x")
+    return verdicts.select("sym", "beats_null", "tail_pays", "floor_holds")
+
+
 @query
 def spread_by_session(spark, sf):
     return quotes.spread_by_session(quotes.quotes_of(tagged(spark, sf))).select("sym", "session", "n", *rounded("mean_bps", "median_bps", "p25_bps", "p75_bps", "p95_bps", digits=6))
