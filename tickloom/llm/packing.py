@@ -20,6 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,20 +32,24 @@ END_ID = 1
 SHARD_PIECES = 16384
 #: Chunks whose ids a Python worker keeps; beyond that the older half goes.
 CACHE_CHUNKS = 1_600_000
+PIECES = 16384
+#: Chunks whose ids a Python worker keeps; beyond that the older half goes.
+CACHE_CHUNKS = 1_600_000
 #: Chunks that are looked up at once, about.
 GROUP_CHUNKS = 800_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, row_hash bigint"
 PLACED = PIECES + ", sequence_id bigint, offset bigint"
 
+_LETTER_STOP = r"(\p{L})([.,])( |\z)"
 _encoders: dict[str, ChunkEncoder] = {}
 
 
 class ChunkEncoder:
     """Ids of a text as little-endian uint32 bytes, from a cache of its chunks between spaces and line ends.
 
-    Holds for tokenizers that part at white space and drop it, as those of kind "BPE with word ends" do: the ids of a
-    text are then those of its chunks in order. A chunk of letters with one comma or full stop at its end is in turn put
-    together from both, and one of ASCII is looked up in lower case, to which the tokenizer would bring it.
+    Holds for tokenizers that bring texts to lower case, part at white space and drop it, as those of kind "BPE with word
+    ends" do: the ids of a text are then those of its chunks in order. They also part a comma or full stop from a letter
+    before it, so a blank is put there where nothing but white space follows, which leaves fewer distinct chunks.
     """
 
     def __init__(self, path: str):
@@ -54,7 +59,6 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.ends = {c: self._ids([c])[0] for c in ".,"}
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -72,55 +76,51 @@ class ChunkEncoder:
         packed, ends = ids.tobytes(), ends.tolist()
         return [packed[a:b] for a, b in zip([0, *ends], ends)]
 
-    def many(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Texts are learnt in groups, so that their new chunks are encoded in one call."""
-        group: list[list[str]] = []
-        size = 0
-        for text in texts:
-            group.append((text or "").replace("\n", " ").split(" "))
-            size += len(group[-1])
-            if size > GROUP_CHUNKS:
-                yield from self._encoded(group)
-                group, size = [], 0
-        yield from self._encoded(group)
-
-    def _encoded(self, texts: list[list[str]]) -> Iterator[bytes]:
-        new, old, ends = self.new, self.old, self.ends
-        found: dict[str, bytes] = {}
-        words: dict[str, None] = {}
-        others: dict[str, None] = {}
-        later: list[tuple[str, str, bytes]] = []
-        get = new.get
-        for c in set().union(*texts):
-            ids = get(c)
-            if ids is not None:
-                found[c] = ids
-                continue
-            key, end = c.lower() if c.isascii() else c, b""
-            if key[-1:] in ends and key[:-1].isalpha():
-                key, end = key[:-1], ends[key[-1]]
-            ids = get(key)
+    def of_distinct(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each of these chunks, which are distinct."""
+        new, get, old = self.new, self.new.get, self.old.get
+        found = [get(c) for c in chunks]
+        words: list[str] = []
+        others: list[str] = []
+        later = []
+        for i, ids in enumerate(found):
             if ids is None:
-                ids = old.get(key)
+                c = chunks[i]
+                ids = old(c)
                 if ids is None:
-                    later.append((c, key, end))
-                    (words if key.isalpha() else others)[key] = None
-                    continue
-                new[key] = ids
-            found[c] = ids + end
-        for group, encode in ((list(words), self._ids_of_letters), (list(others), self._ids)):
+                    later.append(i)
+                    (words if c.isalpha() else others).append(c)
+                else:
+                    found[i] = new[c] = ids
+        for group, encode in ((words, self._ids_of_letters), (others, self._ids)):
             for i in range(0, len(group), 4096):
                 part = group[i : i + 4096]
                 new.update(zip(part, encode(part)))
-        for c, key, end in later:
-            found[c] = new[key] + end
-        for chunks in texts:
-            yield b"".join(map(found.__getitem__, chunks))
+        for i in later:
+            found[i] = new[chunks[i]]
         if len(new) > CACHE_CHUNKS // 2:
             self.old, self.new = new, {}
+        return found
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin, with the end of the last."""
+        plain = pc.replace_substring(pc.ascii_lower(pc.fill_null(texts, "")), "\n", " ")
+        parted = pc.split_pattern(pc.replace_substring_regex(plain, _LETTER_STOP, r"\1 \2\3"), " ")
+        coded = parted.flatten().dictionary_encode()
+        of_chunk = self.of_distinct(coded.dictionary.to_pylist())
+        known = np.frombuffer(b"".join(of_chunk), dtype="<u4")
+        length = np.fromiter(map(len, of_chunk), dtype=np.int64, count=len(of_chunk)) // 4
+        start = np.concatenate([[0], np.cumsum(length)[:-1]]) if len(length) else length
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        each = length[index]
+        ends = np.cumsum(each)
+        place = np.repeat((start[index] - (ends - each)).astype(np.int32), each)
+        place += np.arange(len(place), dtype=np.int32)
+        bounds = parted.offsets.to_numpy(zero_copy_only=False)
+        return known[place], np.concatenate([[0], ends])[bounds - bounds[0]]
 
     def __call__(self, text: str | None) -> bytes:
-        return next(self._encoded([(text or "").replace("\n", " ").split(" ")]))
+        return self.column(pa.array([text], pa.string()))[0].tobytes()
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -133,11 +133,16 @@ def _cut_pieces(batches: Iterator[pa.RecordBatch], path: str, max_tokens: int, e
     encode, end = encoder(path), np.uint32(end_id).astype("<u4").tobytes()
     for batch in batches:
         rows: list[list] = [[] for _ in range(5)]
-        for doc_id, ids in zip(batch.column(0).to_pylist(), encode.many(batch.column(1).to_pylist())):
-            ids += end
-            for piece, at in enumerate(range(0, len(ids), 4 * max_tokens)):
-                part = ids[at : at + 4 * max_tokens]
-                for column, v in zip(rows, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):
+        ids, bounds = encode.column(batch.column(1))
+        bounds = bounds.tolist()
+        for doc_id, a, b in zip(batch.column(0).to_pylist(), bounds, bounds[1:]):
+            n = b - a + 1  # with the end id
+            for piece, at in enumerate(range(0, n, max_tokens)):
+                length = min(max_tokens, n - at)
+                crc = zlib.crc32(ids[a + at : min(a + at + length, b)].data)
+                if at + length == n:
+                    crc = zlib.crc32(end, crc)
+                for column, v in zip(rows, (doc_id, piece, at, length, crc)):
                     column.append(v)
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
