@@ -130,8 +130,8 @@ for _n, _k in ((6, 2), (4, 1)):
     CTES |= {
         f"fits_{_n}_{_k}": f"select sym, split, " + ", ".join(f"coalesce(case when isnan(corr({c}, label)) then 0 else corr({c}, label) end, 0) as r{j}" for j, c in enumerate(x))
         + f" from members_{_n}_{_k} where role = 'train' group by sym, split",
-        f"best_{_n}_{_k}": "select sym, split, " + "case " + " ".join(f"when abs(r{j}) = m then {j}" for j in range(len(x))) + " end as b, case "
-        + " ".join(f"when abs(r{j}) = m then r{j}" for j in range(len(x))) + f" end as corr from (select *, greatest({', '.join(f'abs(r{j})' for j in range(len(x)))}) as m from fits_{_n}_{_k})",
+        f"best_{_n}_{_k}": "select sym, split, " + "case " + " ".join(f"when round(abs(r{j}), 9) = m then {j}" for j in range(len(x))) + " end as b, case "
+        + " ".join(f"when round(abs(r{j}), 9) = m then r{j}" for j in range(len(x))) + f" end as corr from (select *, greatest({', '.join(f'round(abs(r{j}), 9)' for j in range(len(x)))}) as m from fits_{_n}_{_k})",
         f"scored_{_n}_{_k}": "select * from (select sym, split, bucket, weight, label > 0 as positive, (case when corr >= 0 then 1 else -1 end) * (case b "
         + " ".join(f"when {j} then {c}" for j, c in enumerate(x)) + f" end) as score, count(*) over (partition by sym, split) as n from members_{_n}_{_k} join best_{_n}_{_k} using (sym, split) where role = 'test' and label <> 0) where n >= 2",
         f"folds_{_n}_{_k}": f"select sym, split, case when wp > 0 and wn > 0 then num / (wp * wn) end as auc from ({auc_sql(f'scored_{_n}_{_k}', 'sym, split')})",
@@ -211,7 +211,7 @@ ORACLES: dict[str, str] = {
         select sym, split, (avg(case when positive then (score > 0)::int end) + avg(case when not positive then (not score > 0)::int end)) / 2 as ba,
             avg(((score > 0) = positive)::int) as acc from scored_6_2 group by sym, split) using (sym, split) group by sym"""),
     "block_aucs": sql("select s.sym, s.block, round(auc, 8) as auc from (select distinct sym, unnest(range(4))::int as block from weighed) s left join folds_4_1 f on f.sym = s.sym and f.split = s.block"),
-    "deflated_prob": sql("select round(pow(avg((auc <= 0.52)::int), 5), 8) as probability from folds_6_2 where auc is not null"),
+    "deflated_prob": sql("select round(pow(avg((round(auc, 9) <= 0.52)::int), 5), 8) as probability from folds_6_2 where auc is not null"),
     "pbo_small": sql("""select round(avg((rank / 5 <= 0.5)::int), 8) as pbo, count(*) as n_splits from (
         select split, sum((o.oos < b.oos)::int) + (sum((o.oos = b.oos)::int) + 1) / 2 as rank from halved o
         join (select split, oos from (select *, row_number() over (partition by split order by ins desc, trial) as k from halved) where k = 1) b using (split) group by split)"""),

@@ -278,7 +278,7 @@ def block_aucs(spark, sf):
 @query
 def deflated_prob(spark, sf):
     null = Study(6, 2).by_split(studied(spark, sf), CorrelationSign(), STUDIED, H_BARS).where("auc is not null")
-    return overfitting.deflated_probability(null, F.lit(0.52), 5).select(*rounded("probability"))
+    return overfitting.deflated_probability(null.withColumn("auc", F.round("auc", 9)), F.lit(0.52), 5).select(*rounded("probability"))
 
 
 @query
