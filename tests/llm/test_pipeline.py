@@ -7,7 +7,10 @@ import pytest
 
 import corpus_pipeline as p
 
-from . import test_mixing, test_packing, test_rules, test_simhash
+from . import test_mixing as by_mixing
+from . import test_packing as by_packing
+from . import test_rules as by_rules
+from . import test_simhash as by_simhash
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +33,7 @@ def test_stages_have_an_effect(stages):
 
 
 def brute_kept(text):
-    n, chars, symbols, dup, repeat, failed = test_rules.brute(text)
+    n, chars, symbols, dup, repeat, failed = by_rules.brute(text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     upper, lower = len(re.findall("[A-Z]", text)), len(re.findall("[a-z]", text))
     return not (failed or 10 * symbols > n or not 2 * n <= chars <= 12 * n or 10 * dup > 3 * len(lines) or upper > 0.5 * max(1, upper + lower))
@@ -42,7 +45,7 @@ def test_quality_rules(stages):
 
 def test_near_dedup(stages):
     ids = [r["doc_id"] for r in stages[1]]
-    groups = test_simhash.brute_components(ids, [test_simhash.brute_fingerprint(r["text"]) for r in stages[1]])
+    groups = by_simhash.brute_components(ids, [by_simhash.brute_fingerprint(r["text"]) for r in stages[1]])
     assert sorted(r["doc_id"] for r in stages[2]) == sorted(set(groups))
     texts = [r["text"] for r in stages[2]]
     assert len(set(texts)) == len(texts)
@@ -56,14 +59,14 @@ def test_mixing(stages):
         most[r["source"]] = max(most[r["source"]], size(r))
     for r in stages[3]:
         taken[r["source"]] += size(r)
-    for source, target in test_mixing.brute_targets(before).items():
+    for source, target in by_mixing.brute_targets(before).items():
         assert abs(taken[source] - target) <= most[source] / 2 + 1e-6
     times = Counter(r["doc_id"] for r in stages[3])
     assert max(times.values()) == 2 and set(times) <= {r["doc_id"] for r in stages[2]}
 
 
 def test_packing(stages):
-    n, tokens = test_packing.check([(r["doc_id"], r["text"]) for r in stages[3]], stages[4])
+    n, tokens = by_packing.check([(r["doc_id"], r["text"]) for r in stages[3]], stages[4])
     assert n <= 1.05 * tokens / 4096 + 1
 
 
