@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import mixing, packing, rules, simhash
+from tickloom.llm import mixing, packing, rules, simhash, similar
 from tickloom.llm.common import shared_dir
 from tickloom.llm.queries import table, tokenizer_path
 
@@ -20,8 +20,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id."""
-    return simhash.one_of_each(docs)
+    """Of each group of near-duplicates the document of the smallest id.
+
+    Near are fingerprints of up to two differing bits, as in the query, and texts whose five-word shingles are similar by 0.8.
+    """
+    found, links = similar.similar(docs)
+    return simhash.one_of_each(docs, found=found, links=links)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -222,12 +222,15 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
-def near_duplicates(docs: DataFrame, *, words: int = WORDS, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, *, words: int = WORDS, distance: int = DISTANCE, seed: int = SEED, found: DataFrame | None = None, links: DataFrame | None = None,
+) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that links reach, itself included), root and text_hash of every row.
 
-    root is a component's smallest fingerprint.
+    root is a component's smallest fingerprint. found: the fingerprints, where they are known; links(a, b): further links
+    between fingerprints.
     """
-    found = cut(fingerprints(docs, words, seed))
+    found = cut(fingerprints(docs, words, seed)) if found is None else found
     heads = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     n = heads.count()
     leaves = min(MOST_SHARDS, -(-n // SHARD))
@@ -236,6 +239,8 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, distance: int = DIST
     tree, _ = grow(np.sort(known), leaves, distance)
     visits = map_arrow(heads.select("fp"), partial(_route, tree=tree, distance=distance), "leaf bigint, fp bigint, home boolean")
     edges = visits.groupBy("leaf").applyInArrow(_leaf_links(distance), "a bigint, b bigint")
+    if links is not None:
+        edges = edges.unionByName(links)
     roots = components(edges)
     rooted = heads.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
