@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import mixing, packing, rules, simhash, similar
 from tickloom.llm.common import shared_dir
-from tickloom.llm.queries import table, tokenizer_path
+from tickloom.llm.queries import label_quality, table, tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +31,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources by their weights; a document appears as often as the mix takes it.
 
-    Quality is the text's own, as looking it up in labels would move every text.
+    Quality is by labels, as in the query. Sizes are counted before labels join, so that texts move once.
     """
-    mixed = mixing.mix_sources(docs, quality=mixing.plausible(F.col("text"), F.col("size")))
+    rated = label_quality(spark, sf_dir, docs.withColumn("_size", mixing.word_count(F.col("text"))))
+    mixed = mixing.mix_sources(rated, quality=F.col("_label_quality"), size=F.col("_size"))
     return mixing.repeated(mixed, docs.columns)
 
 

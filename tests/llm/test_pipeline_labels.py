@@ -1,0 +1,18 @@
+"""The pipeline's mix takes documents by their labels."""
+
+from collections import Counter
+
+import corpus_pipeline
+
+
+def test_mix_prefers_documents_labelled_good(spark, tmp_path):
+    n = 1200
+    spark.createDataFrame([(i, i % 3) for i in range(n) if i % 3 < 2], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    # equal texts, lest anything but labels tell documents apart
+    docs = spark.createDataFrame([(i, "some words here", "en", "s", 15) for i in range(n)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    mixed = corpus_pipeline.mix(spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns
+    times = Counter(r["doc_id"] for r in mixed.collect())
+    assert sum(times.values()) == 1.5 * n and len(times) == n
+    twice = [sum(times[i] == 2 for i in range(q, n, 3)) for q in range(3)]  # bad, good, without a label
+    assert twice[1] > 1.2 * twice[2] > 1.2 * 1.2 * twice[0]
