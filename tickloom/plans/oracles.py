@@ -234,6 +234,9 @@ ORACLES: dict[str, str] = {
     "lake_round_trip": sql("select sym, label, touched, count(*) as n, round(sum(gross_return), 6) as total from labels where decision_ts >= timestamp '2024-01-10' and decision_ts < timestamp '2024-01-20' group by all"),
     "replay_source": sql("select sym, count(*) as n, round(sum(close), 5) as total from bars where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-12' group by sym"),
     "vendor_times": f"select event_id, {text_of('''timezone('UTC', timezone('America/New_York', ts))''')} as ts from events where event_id % 50 = 0",
+    "lake_whole": sql("select sym, label, touched, count(*) as n, round(sum(gross_return), 6) as total from labels group by all"),
+    "replay_whole": sql("select sym, count(*) as n, round(sum(close), 5) as total from bars group by sym"),
+    "vendor_times_all": f"select event_id, {text_of('''timezone('UTC', timezone('America/New_York', ts))''')} as ts from events",
     "assembled": sql(f"""select sym, session, count(*) as n, sum(is_traded::int)::bigint as traded, sum(is_gap::int)::bigint as gaps, sum(is_halt::int)::bigint as halts from flagged group by sym, session"""),
 }
 ORACLES["decision_rules"] = f"""select sym, auc >= 0.5 + 3 * 0.0016 as beats_null, tail_accuracy >= breakeven_1x as tail_pays, breakeven_2x between 0.55 and 0.57 as floor_holds

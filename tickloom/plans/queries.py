@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +40,11 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def dates(spark: SparkSession, sf: str) -> tuple[date, date]:
+    """The first and the last date of the events."""
+    return tuple(events(spark, sf).agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first())
+
+
 def bars(spark: SparkSession, sf: str) -> DataFrame:
     return B.ohlcv(B.ticks_of(events(spark, sf)), STEP)
 
@@ -382,6 +387,35 @@ def vendor_times(spark, sf):
     return rows.select("event_id", *text("ts"))
 
 
+@query
+def lake_whole(spark, sf):
+    """Labels written to a lake and read back, over all dates that the events have."""
+    lake = Lake(spark, scratch(spark))
+    lake.write("labels", labelled(spark, sf))
+    first, last = dates(spark, sf)
+    rows = lake.read("labels", first=first, last=last)
+    return rows.groupBy("sym", "label", "touched").agg(F.count("*").alias("n"), F.round(F.sum("gross_return"), 6).alias("total"))
+
+
+@query
+def replay_whole(spark, sf):
+    """All bars through the replay data source."""
+    spark.dataSource.register(history.ReplaySource)
+    at = f"{scratch(spark)}/bars"
+    bars(spark, sf).write.parquet(at)
+    names = ",".join(sorted(r[0] for r in events(spark, sf).select("event_type").distinct().collect()))
+    first, last = dates(spark, sf)
+    read = spark.read.format("bar_replay").options(path=at, symbols=names, start=str(first), end=str(last + timedelta(days=1)), window_days="3").load()
+    return read.groupBy("sym").agg(F.count("*").alias("n"), F.round(F.sum("close"), 5).alias("total"))
+
+
+@query
+def vendor_times_all(spark, sf):
+    """Naive local times as UTC, of every event."""
+    rows = events(spark, sf).select("event_id", F.to_utc_timestamp("ts", "America/New_York").alias("ts"))
+    return rows.select("event_id", *text("ts"))
+
+
 @query
 def assembled(spark, sf):
     """Settled deliveries that agree, assembled into a validated frame."""
