@@ -4,8 +4,8 @@ Tokens are lower-case words and an end of text. The commonest words have a class
 their last letters; latent states emit classes, and a class its words by their smoothed counts, so that the states'
 parameters have a fixed size whatever the vocabulary. Counts are those of all training documents: tasks turn their
 documents into blocks of word numbers and send each block's vocabulary once, the words' counts are summed over blocks, and
-go back to the blocks. Baum-Welch starts from a bounded sample of documents; its full rounds then sum expected counts over
-all training documents, per partition first. The score is the exact log-likelihood by the scaled forward recursion.
+go back to the blocks. Baum-Welch starts from all training documents' counts, with seeded noise for each state; each of its
+rounds sums expected counts over all training documents, per partition first, until their likelihood settles. The score is the exact log-likelihood by the scaled forward recursion.
 
 Defined cases. Null text: empty, the end alone. Null doc_id: split as if its text were empty. Repeated rows: each counts
 and is scored. Words that training lacks: they share what is left to their class, as one more word. No training document:
@@ -35,8 +35,8 @@ OWN, ENDINGS, ENDING_BYTES = 4096, 2048, 3
 LEAST_SHARE = 2e-5
 #: Tokens of a block, and of what is run through the recursions at once.
 BLOCK_TOKENS, GROUP_TOKENS = 2_500_000, 250_000
-#: The sample that Baum-Welch starts from: documents (about, twice as many at most), tokens of each, rounds; then full rounds over all training documents.
-SAMPLE_DOCS, SAMPLE_TOKENS, SAMPLE_ROUNDS, ROUNDS = 1500, 1024, 25, 2
+#: The likelihood has settled once a training token gains less (of log10) in each of so many rounds, one after another.
+LEAST_GAIN, SETTLED_ROUNDS = 1e-4, 2
 END = b""
 
 
@@ -152,6 +152,12 @@ def forward(docs: list[np.ndarray], model: Model) -> np.ndarray:
 
 def expected(docs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch counts of starts, steps and emissions."""
+    return expected_and_likelihood(docs, model)[:3]
+
+
+def expected_and_likelihood(docs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts, and the documents' log10 likelihood."""
+    likelihood = 0.0
     k, n_classes = model.emit.shape
     starts, steps, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, n_classes))
     emit, step_back = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.step.T)
@@ -163,6 +169,7 @@ def expected(docs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarr
             a, b = cuts[t], cuts[t + 1]
             now = seen[a:b] * (model.start if t == 0 else alpha[cuts[t - 1] : cuts[t - 1] + b - a] @ model.step)
             scale = now.sum(axis=1)[:, None]
+            likelihood += float(np.log10(scale).sum())
             alpha[a:b] = now / scale
             seen[a:b] /= scale
         beta = np.ones((cuts[-1] - cuts[-2], k))
@@ -177,7 +184,7 @@ def expected(docs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarr
         starts += alpha[: cuts[1]].sum(axis=0)
         for s in range(k):
             emits[s] += np.bincount(flat, weights=alpha[:, s], minlength=n_classes)
-    return starts, steps * model.step, emits
+    return starts, steps * model.step, emits, likelihood
 
 
 def estimate(starts: np.ndarray, steps: np.ndarray, emits: np.ndarray, prior: np.ndarray) -> Model:
@@ -236,10 +243,10 @@ def _sequences(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
 
 
 def _expect(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """A partition's expected counts: kind 0 starts, 1 steps, 2 emissions."""
+    """A partition's expected counts: kind 0 starts, 1 steps, 2 emissions; 3 the likelihood."""
     total: list[np.ndarray] | None = None
     for batch in batches:
-        found = expected(_sequences(batch, 0), model)
+        found = expected_and_likelihood(_sequences(batch, 0), model)
         total = list(found) if total is None else [a + b for a, b in zip(total, found)]
     for kind, counts in enumerate(total or []):
         counts = np.atleast_2d(counts)
@@ -256,8 +263,11 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, n_tokens: int) -> It
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, *, is_held: Callable = held_out, states: int = STATES, rounds: int = ROUNDS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Each document's base and model score, by a model trained on those that are not held out."""
+def score_documents(docs: DataFrame, *, is_held: Callable = held_out, states: int = STATES, rounds: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Each document's base and model score, by a model trained on those that are not held out.
+
+    Training goes on until the likelihood settles, or for so many rounds.
+    """
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/hmm-{uuid.uuid4().hex}"
 
@@ -291,19 +301,18 @@ def score_documents(docs: DataFrame, *, is_held: Callable = held_out, states: in
     there = blocks.where("ids is not null").select("block", "doc_id", "held_out", "ids")
     encoded = stored(there.groupBy("block").cogroup(classed.groupBy("block")).applyInArrow(encode, ENCODED), "encoded")
     training = encoded.where(~F.col("held_out")).select("doc_id", "classes")
-    # by hash, so that each task sends a few rows alone
-    there = training.count()
-    drawn = F.pmod(F.xxhash64("doc_id", "classes"), F.lit(1 << 20)) < F.lit(math.ceil(SAMPLE_DOCS / max(1, there) * (1 << 20)))
-    first = training.where(drawn).select(F.substring("classes", 1, 2 * SAMPLE_TOKENS).alias("classes")).limit(2 * SAMPLE_DOCS)
-    sample = sorted(bytes(r["classes"]) for r in first.collect())
-    model = first_model([np.frombuffer(x, dtype="<u2") for x in sample], prior, states, SAMPLE_ROUNDS)
-    for _ in range(rounds if n_tokens else 0):
+    model = first_model([], prior, states, 0)
+    done, small, last = 0, 0, -math.inf
+    while n_tokens and (small < SETTLED_ROUNDS if rounds is None else done < rounds):
         counts = map_arrow(training.select("classes"), partial(_expect, model=model), "kind int, a int, b int, n double", rows=16_000)
-        starts, steps, emits = np.zeros((1, states)), np.zeros((states, states)), np.zeros((states, n_classes))
-        # of fixed size: states * (1 + states + classes)
+        starts, steps, emits, now = np.zeros((1, states)), np.zeros((states, states)), np.zeros((states, n_classes)), np.zeros((1, 1))
+        # of fixed size: states * (1 + states + classes) + 1
         for r in counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).toLocalIterator():
-            (starts, steps, emits)[r["kind"]][r["a"], r["b"]] = r["n"]
+            (starts, steps, emits, now)[r["kind"]][r["a"], r["b"]] = r["n"]
         model = estimate(starts[0], steps, emits, prior)
+        likelihood = float(now[0, 0])
+        small = small + 1 if likelihood - last < LEAST_GAIN * n_tokens else 0
+        done, last = done + 1, likelihood
     scored = cut(map_arrow(encoded, partial(_score, model=model, n_tokens=n_tokens), SCORES, rows=16_000))
     delete(spark, folder)
     return scored
