@@ -32,11 +32,6 @@ END_ID = 1
 SHARD_PIECES = 16384
 #: Chunks whose ids a Python worker keeps; beyond that the older half goes.
 CACHE_CHUNKS = 1_600_000
-PIECES = 16384
-#: Chunks whose ids a Python worker keeps; beyond that the older half goes.
-CACHE_CHUNKS = 1_600_000
-#: Chunks that are looked up at once, about.
-GROUP_CHUNKS = 800_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, row_hash bigint"
 PLACED = PIECES + ", sequence_id bigint, offset bigint"
 
@@ -50,13 +45,17 @@ class ChunkEncoder:
     Holds for tokenizers that bring texts to lower case, part at white space and drop it, as those of kind "BPE with word
     ends" do: the ids of a text are then those of its chunks in order. They also part a comma or full stop from a letter
     before it, so a blank is put there where nothing but white space follows, which leaves fewer distinct chunks.
+    The tokenizer's special tokens hold no white space, so that each stays within a chunk; as they are told by their exact
+    letters, texts with the like in other cases keep their case.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(t.split() != [t] for t in self.special):
+            raise ValueError(f"special tokens that hold white space: {self.special}")
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -104,7 +103,12 @@ class ChunkEncoder:
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text's begin, with the end of the last."""
-        plain = pc.replace_substring(pc.ascii_lower(pc.fill_null(texts, "")), "\n", " ")
+        texts = pc.fill_null(texts, "")
+        lower = pc.ascii_lower(texts)
+        for token in self.special:
+            there, exact = (pc.count_substring(x, token.lower()) for x in (lower, texts))
+            lower = pc.if_else(pc.equal(there, exact), lower, texts)
+        plain = pc.replace_substring(lower, "\n", " ")
         parted = pc.split_pattern(pc.replace_substring_regex(plain, _LETTER_STOP, r"\1 \2\3"), " ")
         coded = parted.flatten().dictionary_encode()
         of_chunk = self.of_distinct(coded.dictionary.to_pylist())
