@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: For Java's regular expressions.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Bytes of text that go to a Python worker at once, whatever the rows' length.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4000
 #: Sides of at most so many bytes, as counted from their rows, may be broadcast.
 BROADCAST_BYTES = 8 << 20
 
@@ -50,9 +50,10 @@ def word_count(text: Column) -> Column:
     ).cast("long")
 
 
-def map_arrow(df: DataFrame, function, schema, rows: int = 4000) -> DataFrame:
-    """df.mapInArrow() with batches of bounded size, by rows and by bytes; the session keeps these settings."""
-    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", rows)):
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow() with batches of bounded size, by rows and by bytes; the session keeps these settings, which are the
+    same for all callers."""
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
         df.sparkSession.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

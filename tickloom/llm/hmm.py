@@ -304,7 +304,7 @@ def score_documents(docs: DataFrame, *, is_held: Callable = held_out, states: in
     model = first_model([], prior, states, 0)
     done, small, last = 0, 0, -math.inf
     while n_tokens and (small < SETTLED_ROUNDS if rounds is None else done < rounds):
-        counts = map_arrow(training.select("classes"), partial(_expect, model=model), "kind int, a int, b int, n double", rows=16_000)
+        counts = map_arrow(training.select("classes"), partial(_expect, model=model), "kind int, a int, b int, n double")
         starts, steps, emits, now = np.zeros((1, states)), np.zeros((states, states)), np.zeros((states, n_classes)), np.zeros((1, 1))
         # of fixed size: states * (1 + states + classes) + 1
         for r in counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -313,6 +313,6 @@ def score_documents(docs: DataFrame, *, is_held: Callable = held_out, states: in
         likelihood = float(now[0, 0])
         small = small + 1 if likelihood - last < LEAST_GAIN * n_tokens else 0
         done, last = done + 1, likelihood
-    scored = cut(map_arrow(encoded, partial(_score, model=model, n_tokens=n_tokens), SCORES, rows=16_000))
+    scored = cut(map_arrow(encoded, partial(_score, model=model, n_tokens=n_tokens), SCORES))
     delete(spark, folder)
     return scored

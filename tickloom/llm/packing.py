@@ -31,7 +31,7 @@ END_ID = 1
 #: Pieces of a shard, about.
 SHARD_PIECES = 16384
 #: Chunks whose ids a Python worker keeps; beyond that the older half goes.
-CACHE_CHUNKS = 1_600_000
+CACHE_CHUNKS = 600_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, row_hash bigint"
 PLACED = PIECES + ", sequence_id bigint, offset bigint"
 
