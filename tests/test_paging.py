@@ -1,0 +1,159 @@
+"""Pacing by property, paged requests, and registries that hold for each dataset."""
+
+import threading
+from datetime import datetime, timedelta, timezone
+
+import duckdb
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tickloom.operators.leakage import LeakageError, assert_features_are_not_outcomes
+from tickloom.schemas import BAR
+from tickloom.sources import history
+from tickloom.sources.registry import Lockbox, LockboxExhausted, Trials
+
+UTC = timezone.utc
+
+
+class Clock:
+    def __init__(self):
+        self.now = 0.0
+
+    def __call__(self):
+        return self.now
+
+    def sleep(self, seconds):
+        assert seconds > 0
+        self.now += seconds
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(2, 9), st.lists(st.tuples(st.integers(0, 40), st.integers(1, 2)), min_size=1, max_size=60))
+def test_a_budget_is_kept_and_no_wait_is_too_long(units, requests):
+    clock, sent = Clock(), []
+    pacer = history.Pacer(units, 30, clock=clock, sleep=clock.sleep)
+    for idle, weight in requests:
+        clock.now += idle
+        before = clock.now
+        waited = pacer.acquire(weight)
+        assert clock.now == before + waited
+        used = lambda t: sum(w for at, w in sent if t - 30 < at <= t)
+        assert used(clock.now) + weight <= units
+        if waited:  # a moment earlier there was no room
+            assert used(clock.now - 0.5) + weight > units
+        sent.append((clock.now, weight))
+    assert len(pacer.freed_at) <= units
+
+
+@pytest.mark.parametrize("weight", [0, -1, 10])
+def test_weights(weight):
+    with pytest.raises(ValueError):
+        history.Pacer(9, 30).acquire(weight)
+
+
+def test_every_try_is_paced_and_waits_double_from_one_second():
+    clock, slept, asked = Clock(), [], []
+
+    def request(sym, end, series):
+        asked.append(end)
+        if len(asked) < 4:
+            raise OSError
+        return []
+
+    pacer = history.Pacer(100, 600, clock=clock, sleep=clock.sleep)
+    source = history.PagedSource(request, pacer, sleep=slept.append)
+    assert source.fetch("s", datetime(2024, 1, 1), datetime(2024, 1, 2), "BID_ASK") == []
+    assert slept == [1.0, 2.0, 4.0] and pacer.upto[-1] == 8
+    failing = history.PagedSource(lambda *a: 1 / 0, None, sleep=slept.append)
+    with pytest.raises(ZeroDivisionError):
+        failing.fetch("s", datetime(2024, 1, 1), datetime(2024, 1, 2), "TRADES")
+    assert slept[3:] == [1.0, 2.0, 4.0, 8.0]
+
+
+def test_pages():
+    t = [datetime(2024, 1, 1) + timedelta(minutes=i) for i in range(100)]
+    asked = []
+
+    def request(sym, end, series):
+        asked.append(end)
+        return [(sym, x, len(asked)) for x in t if x < end][-30:]
+
+    source = history.PagedSource(request)
+    assert [r[1] for r in source.fetch("s", t[10], t[90], "TRADES")] == t[10:90] and asked == [t[90], t[60], t[30]]
+    assert source.fetch("s", t[0] - timedelta(days=2), t[0] - timedelta(days=1), "TRADES") == []
+    stuck = history.PagedSource(lambda sym, end, series: [(sym, t[50], 0)])  # the same row again and again
+    assert len(stuck.fetch("s", t[0], t[90], "TRADES")) == 1
+    assert len(history.PagedSource(request, most=2).fetch("s", t[0], t[90], "TRADES")) == 60
+    assert source.earliest("s", "TRADES", t[0] - timedelta(days=100), t[-1]) == t[0]
+
+
+def test_recorded_bars_with_gaps(spark, tmp_path):
+    start = datetime(2024, 1, 3)
+    rows = [("s", start + timedelta(days=d), 1.0, 1.0, 1.0, float(d), 1.0, 1, 1.0) for d in (0, 1, 40, 41, 200)]
+    spark.createDataFrame(rows, BAR).write.parquet(str(tmp_path / "b"))
+    source = history.PagedSource(history.Recorded(str(tmp_path / "b")))
+    got = source.fetch("s", start.replace(tzinfo=UTC), datetime(2025, 1, 1, tzinfo=UTC), "TRADES")
+    assert [r[5] for r in got] == [0.0, 1.0, 40.0, 41.0, 200.0] and source.fetch("x", start.replace(tzinfo=UTC), datetime(2025, 1, 1, tzinfo=UTC), "TRADES") == []
+    spark.dataSource.register(history.ReplaySource)
+    read = spark.read.format("bar_replay").options(path=str(tmp_path / "b"), symbols="s", start="2024-01-04", end="2024-03-01", units="600").load()
+    assert sorted(r["close"] for r in read.collect()) == [1.0, 40.0, 41.0]
+
+
+def test_follow():
+    class Ingest(history.Ingestor):
+        def __init__(self):
+            self.n = 0
+
+        def update(self, *a):
+            self.n += 1
+
+        def complete(self, *a):
+            return self.n >= 3
+
+    slept = []
+    now = lambda: datetime(2024, 1, 1, tzinfo=UTC)
+    assert Ingest().follow("s", "TRADES", now, slept.append) and slept == [60.0, 60.0]
+    assert not Ingest().follow("s", "TRADES", now, slept.append, polls=2)
+
+
+def test_budget_used_across_blocks(spark):
+    rows = [("ab"[i % 3 == 0], datetime(2024, 1, 1) + timedelta(seconds=(i * i * 37) % 9000), i, 1 + i % 2) for i in range(400)]
+    frame = spark.createDataFrame(rows, "source string, ts timestamp, id int, weight bigint")
+    got = {r["id"]: r["used"] for r in history.budget_used(frame, 60, 2).collect()}
+    assert len(got) == 400
+    for source, ts, i, _ in rows:
+        assert got[i] == sum(w for s, t, _, w in rows if s == source and 0 <= (ts - t).total_seconds() <= 59)
+
+
+def test_a_lockbox_for_each_dataset(spark, tmp_path):
+    box = Lockbox(spark, f"file://{tmp_path}/box")
+    box.touch("a", "sha", "  first ")
+    box.touch("a", "sha", "second")
+    with pytest.raises(LockboxExhausted):
+        box.touch("a", "sha", "third")
+    box.touch("b", "sha", "first of b")
+    assert (box.count("a"), box.count("b"), box.count("c"), box.count()) == (2, 1, 0, 3)
+    assert (box.remaining("a"), box.remaining("b"), box.remaining("c"), box.remaining()) == (0, 1, 2, 0)
+    assert [r["justification"] for r in box.touches("a").collect()] == ["first", "second"]
+
+
+def test_writers_wait_for_each_other(spark, tmp_path):
+    trials = Trials(spark, f"file://{tmp_path}/trials")
+    threads = [threading.Thread(target=trials.register, args=("d", f"h{i % 2}", "m", 0.5)) for i in range(6)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert trials.rows().count() == 2
+
+
+@pytest.mark.parametrize("name", ["label", "gross_return", "touched", "exit_ts", "exit_price", "entry_ts", "entry_price"])
+def test_no_outcome_is_a_feature(name):
+    with pytest.raises(LeakageError):
+        assert_features_are_not_outcomes(["ret_1b", name])
+
+
+def test_the_hash_deals_alike_in_both_engines(spark):
+    from pyspark.sql import functions as F
+
+    want = duckdb.sql("select md5(concat_ws('|', 'ä#1', 17, '11'))").fetchall()[0][0]
+    assert spark.range(1).select(F.md5(F.concat_ws("|", F.lit("ä#1"), F.lit(17).cast("string"), F.lit("11")))).first()[0] == want

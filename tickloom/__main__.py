@@ -17,22 +17,14 @@ from tickloom.operators.labels import assemble_dataset, label_generator
 from tickloom.operators.quotes import render_evidence
 from tickloom.session import build_session
 from tickloom.sources.config import Config, load
-from tickloom.sources.history import Ingestor, utc
+from tickloom.sources.history import Ingestor, Pacer, PagedSource, Recorded, utc
 from tickloom.sources.lake import Lake
 from tickloom.sources.logs import configure, get_logger
 
 
-class FileHistory:
-    """Recorded bars in Parquet files as a source."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.rows = spark.read.parquet(path)
-
-    def fetch(self, sym: str, start: datetime, end: datetime, series: str) -> list[tuple]:
-        mine = self.rows.where((F.col("sym") == sym) & (F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end)))
-        if "series" in mine.columns:
-            mine = mine.where(F.col("series") == series)
-        return [tuple(r) for r in mine.select("sym", "ts", "open", "high", "low", "close", "volume", "bar_count", "wap").orderBy("ts").collect()]
+def recorded(config: Config, path: str) -> PagedSource:
+    """Recorded bars in Parquet files, asked for as a broker's history is."""
+    return PagedSource(Recorded(path), Pacer(config.source.units, config.source.seconds))
 
 
 def assemble(lake: Lake, config: Config, sym: str, series: str, sessions: tuple[str, ...]):
@@ -51,7 +43,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     volatility = {"bucket_minutes": config.volatility.bucket_minutes, "span_days": config.volatility.span_days, "tz": config.sessions.timezone}
     if args.command in ("ingest", "status"):
         end = utc(datetime.fromisoformat(args.end), "UTC") if args.end else datetime.now(timezone.utc)
-        ingest = Ingestor(spark, lake, FileHistory(spark, args.bars) if args.bars else None, config.source.request_timezone, config.bars.step)
+        ingest = Ingestor(spark, lake, recorded(config, args.bars) if args.bars else None, config.source.request_timezone, config.bars.step)
         if args.command == "ingest":
             n = ingest.update(sym, args.series, end) if ingest.frontier(sym, args.series) else ingest.backfill(sym, args.series, utc(datetime.fromisoformat(args.start), "UTC"), end)
             log.info("ingested", context={"bars": n})

@@ -107,7 +107,7 @@ class TimeOfDay:
 
 @dataclass(frozen=True)
 class ContextReturn:
-    """A context symbol's log return over its last bar."""
+    """A context symbol's last bar as of each row: its close and its time."""
 
     symbol: str
     name: str = "context_return"

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tickloom.operators.splits import indexed
 from tickloom.session import cut
 
-OUTCOMES = frozenset({"label", "touched", "gross_return", "entry_ts", "exit_ts", "sigma", "weight"})
+OUTCOMES = frozenset({"label", "touched", "gross_return", "entry_ts", "entry_price", "exit_ts", "exit_price", "sigma", "weight"})
 TIMES = ("decision_ts", "entry_ts", "exit_ts")
+#: Digits of a hash that part a symbol's rows into blocks: 4096 of them.
+HASH_DIGITS = 3
 
 
 class LeakageError(ValueError):
@@ -25,9 +27,16 @@ def assert_features_are_not_outcomes(features: Iterable[str], outcomes: Iterable
 
 
 def _permutation(rows: DataFrame, seed: int, per: str = "i") -> DataFrame:
-    """sym, per, place: each value of per at a place drawn by hash."""
-    drawn = Window.partitionBy("sym").orderBy(F.xxhash64(F.col("sym"), F.col(per), F.lit(seed)), per)
-    return rows.select("sym", per).distinct().withColumn("place", F.row_number().over(drawn) - 1)
+    """sym, per, place: each value of per at a place drawn by hash.
+
+    Hashes are uniform, so that blocks by their first digits are small, whatever share of the rows a symbol has.
+    """
+    drawn = rows.select("sym", per).distinct().withColumn("_h", F.md5(F.concat_ws("|", "sym", F.col(per).cast("string"), F.lit(str(seed)))))
+    drawn = drawn.withColumn("_part", F.substring("_h", 1, HASH_DIGITS))
+    before = F.sum("_n").over(Window.partitionBy("sym").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = drawn.groupBy("sym", "_part").agg(F.count("*").alias("_n")).select("sym", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("sym", "_part").orderBy("_h", per))
+    return drawn.withColumn("_r", within).join(offsets, ["sym", "_part"]).select("sym", per, (F.col("_before") + F.col("_r") - 1).alias("place"))
 
 
 def shuffle_labels(dataset: DataFrame, seed: int, column: str = "label") -> DataFrame:

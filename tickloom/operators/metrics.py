@@ -7,16 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators.ordered import quantiles, sums_before
+
 
 def _auc_parts(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """by, num (weight of rightly ordered pairs, ties half), wp, wn."""
     w = F.col("weight")
     sums = rows.groupBy(*by, "score").agg(F.sum(F.when(F.col("positive"), w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("positive"), 0.0).otherwise(w)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    pairs = sums.withColumn("_num", F.col("p") * (below + 0.5 * F.col("n")))
+    pairs = sums_before(sums, by, "score", {"_below": F.col("n")}).withColumn("_num", F.col("p") * (F.col("_below") + 0.5 * F.col("n")))
     return pairs.groupBy(*by).agg(F.sum("_num").alias("num"), F.sum("p").alias("wp"), F.sum("n").alias("wn"))
 
 
@@ -40,11 +41,11 @@ def tail_accuracy(rows: DataFrame, by: Sequence[str], quantile: float, bucket: s
     """Weighted share of right calls when the top quantile is called positive and the bottom one negative, bounds
     included and interpolated; within buckets of two rows and more if one is named. A row in both tails counts twice."""
     within = [*by, *([bucket] if bucket else [])]
-    bounds = rows.groupBy(*within).agg(F.percentile("score", F.array(F.lit(quantile), F.lit(1.0 - quantile))).alias("_q"), F.count("*").alias("_n"))
+    bounds = quantiles(rows, within, "score", {"_low": (quantile, True), "_high": (1.0 - quantile, True)}).withColumnRenamed("n", "_n")
     if bucket:
         bounds = bounds.where("_n >= 2")
     tails = rows.join(bounds, within)
-    top, bottom, w = F.col("score") >= F.col("_q")[1], F.col("score") <= F.col("_q")[0], F.col("weight")
+    top, bottom, w = F.col("score") >= F.col("_high"), F.col("score") <= F.col("_low"), F.col("weight")
     right = F.when(top & F.col("positive"), w).otherwise(0.0) + F.when(bottom & ~F.col("positive"), w).otherwise(0.0)
     called = F.when(top, w).otherwise(0.0) + F.when(bottom, w).otherwise(0.0)
     sums = tails.groupBy(*by).agg(F.sum(right).alias("_r"), F.sum(called).alias("_c"))

@@ -56,6 +56,49 @@ def prefix_sums(rows: DataFrame, keys: Sequence[str], pos: str, values: dict[str
     )
 
 
+def sums_before(rows: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column]) -> DataFrame:
+    """Adds sums over the rows of the same keys that sort before a row by `order`, which has no ties within the keys.
+
+    Ranges of (keys, order) are the blocks, whatever share of the rows a key has; their totals are carried on.
+    """
+    valued = rows.withColumns({f"_v_{k}": v for k, v in values.items()})
+    ranged = cut(valued.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*keys, "_part").agg(*[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in values])
+    carried = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_of"), *[F.sum(f"_s_{k}").over(earlier).alias(f"_c_{k}") for k in values])
+    within = Window.partitionBy("_part", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("_part") == F.col("_of")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = ranged.withColumns({f"_w_{k}": F.sum(f"_v_{k}").over(within) for k in values}).join(carried, same)
+    summed = {k: F.coalesce(F.col(f"_w_{k}"), F.lit(0)) + F.coalesce(F.col(f"_c_{k}"), F.lit(0)) for k in values}
+    return joined.withColumns(summed).select(*rows.columns, *values)
+
+
+def quantiles(rows: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, tuple[float, bool]]) -> DataFrame:
+    """keys, n and a column for each of wanted: name -> (quantile, whether it is interpolated rather than the nearest rank).
+
+    Equal values are counted first; ranks come from the counts of smaller ones.
+    """
+    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("_k"))
+    n = counted.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.sum("_k").alias("n"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    placed = sums_before(counted, keys, value, {"_before": F.col("_k")}).join(n, same)
+    at_rank = lambda r: F.max(F.when((F.col("_before") <= r) & (r < F.col("_before") + F.col("_k")), F.col(value)))
+    found = {}
+    for name, (q, interpolated) in wanted.items():
+        place = (F.col("n") - 1) * F.lit(q)
+        if interpolated:
+            low = F.floor(place)
+            part = F.first(place - low)
+            found[name] = at_rank(low) * (1 - part) + at_rank(F.ceil(place)) * part
+        else:
+            found[name] = at_rank(F.floor(place + 0.5))
+    return placed.groupBy(*keys).agg(F.first("n").alias("n"), *[c.alias(name) for name, c in found.items()])
+
+
 def asof_backward(target: DataFrame, context: DataFrame, name: str, on: str = "ts", by: Sequence[str] = ()) -> DataFrame:
     """Adds a struct column: the latest context row (its own time included) at or before each target row; null if none.
 

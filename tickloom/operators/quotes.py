@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators.ordered import quantiles
 from tickloom.schemas import SESSIONS
 
 
@@ -30,23 +31,13 @@ def spread_by_session(quotes: DataFrame, since: datetime | None = None) -> DataF
         rows = rows.where(~F.col("is_price_anomaly"))
     if since is not None:
         rows = rows.where(F.col("ts") >= F.lit(since))
-    # equal spreads are counted first: quantiles need the distinct values alone
-    counted = rows.groupBy("sym", "session", "spread_bps").agg(F.count("*").alias("k"))
-    stats = counted.groupBy("sym", "session").agg(
-        F.sum("k").alias("n"), (F.sum(F.col("spread_bps") * F.col("k")) / F.sum("k")).alias("mean_bps"), F.expr("percentile(spread_bps, 0.5, k)").alias("median_bps"),
-        *[nearest(q).alias(f"p{round(100 * q)}_bps") for q in (0.25, 0.75, 0.95)],
-    )
+    wanted = {"median_bps": (0.5, True)} | {f"p{round(100 * q)}_bps": (q, False) for q in (0.25, 0.75, 0.95)}
+    means = rows.groupBy("sym", "session").agg(F.avg("spread_bps").alias("mean_bps"))
+    stats = quantiles(rows, ["sym", "session"], "spread_bps", wanted).join(means, ["sym", "session"])
+    stats = stats.select("sym", "session", "n", "mean_bps", *wanted)
     return stats.orderBy("sym", session_order(F.col("session")))
 
 
-def nearest(q: float) -> Column:
-    """Nearest-rank quantile of spread_bps with frequencies k: the discrete percentile at a rank's middle."""
-    pairs = F.sort_array(F.collect_list(F.struct("spread_bps", "k")))
-    at = F.floor((F.sum("k") - 1) * F.lit(q) + F.lit(0.5))
-    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("v"))
-    return F.aggregate(pairs, start, lambda s, p: F.struct((s["seen"] + p["k"]).alias("seen"), F.when(s["v"].isNull() & (s["seen"] + p["k"] > at), p["spread_bps"]).otherwise(s["v"]).alias("v")))["v"]
-
-
 def session_counts(bars: DataFrame) -> DataFrame:
     """sym, session, n traded bars and the earliest; sessions without any are left out."""
     found = bars.where("is_traded").groupBy("sym", "session").agg(F.count("*").alias("n"), F.min("ts").alias("earliest"))
@@ -80,6 +71,29 @@ def decisions(metrics: DataFrame, *, observed: str, null_mean: str, null_std: st
     })
 
 
+#: Mean deflated probabilities above which there is an edge and below which none, and the spread over seeds from which they are
+#: unstable. Shares of the full set's excess from which the calendar's features carry it, and the market's retain it.
+EDGE, NO_EDGE, UNSTABLE, CALENDAR_CARRIES, MARKET_RETAINS = 0.9, 0.5, 0.05, 0.5, 0.75
+
+
+def deflation_verdict(by_seed: DataFrame, by: list[str], probability: str = "probability") -> DataFrame:
+    """by, mean, spread and verdict of deflated probabilities by seed: unstable, no_edge, edge, or ambiguous. Null without any."""
+    mean, spread = F.avg(probability), F.max(probability) - F.min(probability)
+    verdict = F.when(spread >= UNSTABLE, "unstable").when(mean < NO_EDGE, "no_edge").when(mean > EDGE, "edge").when(mean.isNotNull(), "ambiguous")
+    return by_seed.groupBy(*by).agg(mean.alias("mean"), spread.alias("spread"), verdict.alias("verdict"))
+
+
+def ablations(metrics: DataFrame, *, full: str, calendar: str, market: str, null: float = 0.5) -> DataFrame:
+    """Adds the shares of the full set's excess over the null that the ablated sets have (null where it is zero), and the
+    verdict: base_rate, conditional_edge or ambiguous."""
+    excess = {name: F.col(c) - null for name, c in (("full", full), ("calendar", calendar), ("market", market))}
+    verdict = F.when(excess["calendar"] >= CALENDAR_CARRIES * excess["full"], "base_rate").when(
+        F.col(market) >= null + MARKET_RETAINS * excess["full"], "conditional_edge"
+    ).when(excess["full"].isNotNull() & excess["calendar"].isNotNull() & excess["market"].isNotNull(), "ambiguous")
+    shares = {f"{n}_share": F.try_divide(excess[n], excess["full"]) for n in ("calendar", "market")}
+    return metrics.withColumns(shares | {"verdict": verdict})
+
+
 def render_evidence(title: str, bars: DataFrame, quotes: DataFrame, since: datetime | None = None) -> str:
     """A readable report; its tables have a row a symbol and session."""
     def lines(df: DataFrame) -> list[str]:

@@ -61,9 +61,11 @@ def inner_fold(train: DataFrame, frac: float) -> DataFrame:
     """Adds fold to training rows (sym, split, i, entry_ts, exit_ts): validation for the last round(frac * n) of them, at
     least one; inner for those before that don't touch the validation's span; null for those that do."""
     per = ["sym", "split"]
-    n = F.count("*").over(Window.partitionBy(*per))
-    back = F.row_number().over(Window.partitionBy(*per).orderBy(F.desc("i")))
-    marked = cut(train).withColumn("_val", back <= F.greatest(F.lit(1), F.bround(F.lit(frac) * n)))
+    train = cut(train)
+    sizes = train.groupBy(*per).agg(F.count("*").alias("_m"))
+    upto = prefix_sums(train, per, "i", {"_upto": F.lit(1)})
+    last = F.greatest(F.lit(1), F.bround(F.lit(frac) * F.col("_m")))
+    marked = upto.join(sizes, per).withColumn("_val", F.col("_m") - F.col("_upto") < last).drop("_m", "_upto")
     spans = marked.where("_val").groupBy(*per).agg(F.min("entry_ts").alias("_a"), F.max("exit_ts").alias("_b"))
     apart = (F.col("entry_ts") > F.col("_b")) | (F.col("exit_ts") < F.col("_a"))
     return marked.join(spans, per).withColumn("fold", F.when(F.col("_val"), "validation").when(apart, "inner")).drop("_val", "_a", "_b")

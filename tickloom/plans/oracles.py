@@ -124,18 +124,34 @@ CTES: dict[str, str] = {
         from matrix join (select * from (values (0, 0, 1), (1, 0, 2), (2, 0, 3), (3, 1, 2), (4, 1, 3), (5, 2, 3)) as t(split, x, y)) on true group by split, trial""",
     "ranked": "select sym, bucket, label > 0 as positive, round(coalesce(ret_5b, 0), 9) as score, weight from weighed where label <> 0",
 }
+CTES |= {
+    "permuted": """select sym, b, label, row_number() over (partition by sym, b order by md5(concat_ws('|', concat(sym, '#', b), i, '5')), i) - 1 as place
+        from indexed, (select unnest(range(8)) as b)""",
+    "members_null": "select m.* replace (concat(m.sym, '#', b) as sym, p.label as label) from members_6_2 m join permuted p on p.sym = m.sym and p.place = m.i",
+}
+
+
+def study_ctes(suffix: str, members: str, features: list[str]) -> dict[str, str]:
+    """fits, best, scored and folds of the correlation model over members."""
+    return {
+        f"fits_{suffix}": "select sym, split, " + ", ".join(f"coalesce(case when isnan(corr({c}, label)) then 0 else corr({c}, label) end, 0) as r{j}" for j, c in enumerate(features))
+        + f" from {members} where role = 'train' group by sym, split",
+        f"best_{suffix}": "select sym, split, " + "case " + " ".join(f"when round(abs(r{j}), 9) = m then {j}" for j in range(len(features))) + " end as b, case "
+        + " ".join(f"when round(abs(r{j}), 9) = m then r{j}" for j in range(len(features))) + f" end as corr from (select *, greatest({', '.join(f'round(abs(r{j}), 9)' for j in range(len(features)))}) as m from fits_{suffix})",
+        f"scored_{suffix}": "select * from (select sym, split, bucket, weight, label > 0 as positive, (case when corr >= 0 then 1 else -1 end) * (case b "
+        + " ".join(f"when {j} then {c}" for j, c in enumerate(features)) + f" end) as score, count(*) over (partition by sym, split) as n from {members} join best_{suffix} using (sym, split) where role = 'test' and label <> 0) where n >= 2",
+        f"folds_{suffix}": f"select sym, split, case when wp > 0 and wn > 0 then num / (wp * wn) end as auc from ({auc_sql(f'scored_{suffix}', 'sym, split')})",
+    }
+
+
+MARKET = [f"coalesce(round({f}, 9), 0)" for f in SYM_FEATURES]
+CLOCK = [f"coalesce({f}, 0)::double" for f in ("minute_of_day", "is_pre", "is_rth", "is_post")]
 for _n, _k in ((6, 2), (4, 1)):
     CTES |= {f"{name}_{_n}_{_k}": re.sub(r"\b(grouped|combos|tests|runs|held|members)\b", rf"\1_{_n}_{_k}", body) for name, body in cpcv_sql(_n, _k, combos_sql(_n, _k)).items()}
-    x = [f"coalesce(round({f}, 9), 0)" for f in SYM_FEATURES]
-    CTES |= {
-        f"fits_{_n}_{_k}": f"select sym, split, " + ", ".join(f"coalesce(case when isnan(corr({c}, label)) then 0 else corr({c}, label) end, 0) as r{j}" for j, c in enumerate(x))
-        + f" from members_{_n}_{_k} where role = 'train' group by sym, split",
-        f"best_{_n}_{_k}": "select sym, split, " + "case " + " ".join(f"when round(abs(r{j}), 9) = m then {j}" for j in range(len(x))) + " end as b, case "
-        + " ".join(f"when round(abs(r{j}), 9) = m then r{j}" for j in range(len(x))) + f" end as corr from (select *, greatest({', '.join(f'round(abs(r{j}), 9)' for j in range(len(x)))}) as m from fits_{_n}_{_k})",
-        f"scored_{_n}_{_k}": "select * from (select sym, split, bucket, weight, label > 0 as positive, (case when corr >= 0 then 1 else -1 end) * (case b "
-        + " ".join(f"when {j} then {c}" for j, c in enumerate(x)) + f" end) as score, count(*) over (partition by sym, split) as n from members_{_n}_{_k} join best_{_n}_{_k} using (sym, split) where role = 'test' and label <> 0) where n >= 2",
-        f"folds_{_n}_{_k}": f"select sym, split, case when wp > 0 and wn > 0 then num / (wp * wn) end as auc from ({auc_sql(f'scored_{_n}_{_k}', 'sym, split')})",
-    }
+    CTES |= study_ctes(f"{_n}_{_k}", f"members_{_n}_{_k}", MARKET)
+CTES |= study_ctes("null", "members_null", MARKET) | study_ctes("clock", "members_6_2", CLOCK) | study_ctes("all", "members_6_2", MARKET + CLOCK)
+CTES["null_aucs"] = """select split_part(sym, '#', 1) as sym, split_part(sym, '#', 2)::int as b, auc from (
+    select sym, round(avg(auc), 9) as auc from folds_null group by sym) where auc is not null"""
 
 
 def sql(final: str) -> str:
@@ -179,9 +195,9 @@ ORACLES: dict[str, str] = {
     "time_of_day": sql(f"select sym, {TS}, {FLAGS} from features"),
     "bucket_ewma_sigma": sql(f"select sym, {TS}, {rounded('sigma')} from withsigma"),
     "feature_matrix": sql(f"select sym, {TS}, session, {rounded(*ALL_FEATURES, digits=6)}, {FLAGS} from features"),
-    "asof_context": sql(f"""select {TS}, {text_of('lag(cts) over w')} as ctx_ts, round(lag(cclose) over w, 8) as ctx_close from (
-        select t.ts, t.sd, c.ts as cts, c.close as cclose from (select * from tagged where sym = (select min(sym) from tagged)) t
-        asof left join (select * from bars where sym = (select max(sym) from bars)) c on t.ts >= c.ts) window w as (partition by sd order by ts)"""),
+    "asof_context": sql(f"""select sym, {TS}, {text_of('lag(cts) over w')} as ctx_ts, round(lag(cclose) over w, 8) as ctx_close from (
+        select t.sym, t.ts, t.sd, c.ts as cts, c.close as cclose from tagged t
+        asof left join (select * from bars where sym = (select max(sym) from bars)) c on t.ts >= c.ts) window w as (partition by sym, sd order by ts)"""),
     "triple_barrier": sql(f"select sym, {DTS}, label, touched, {rounded('gross_return', 'sigma')} from labels"),
     "label_distribution": sql("select sym, label, count(*) as n, round(avg(gross_return), 8) as mean_gross_return from labels group by sym, label"),
     "research_dataset": sql(f"select sym, {DTS}, label, touched, session, {rounded('gross_return', *ALL_FEATURES, digits=6)}, {FLAGS} from dataset"),
@@ -233,11 +249,42 @@ ORACLES: dict[str, str] = {
     "stream_bars": sql(f"select sym, {TS}, {rounded('open', 'high', 'low', 'close', 'volume', 'wap')}, bar_count from bars"),
     "lake_round_trip": sql("select sym, label, touched, count(*) as n, round(sum(gross_return), 6) as total from labels where decision_ts >= timestamp '2024-01-10' and decision_ts < timestamp '2024-01-20' group by all"),
     "replay_source": sql("select sym, count(*) as n, round(sum(close), 5) as total from bars where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-12' group by sym"),
-    "vendor_times": f"select event_id, {text_of('''timezone('UTC', timezone('America/New_York', ts))''')} as ts from events where event_id % 50 = 0",
+    "vendor_times": f"select event_id, {text_of('''timezone('UTC', timezone('America/New_York', ts))''')} as ts from events",
     "lake_whole": sql("select sym, label, touched, count(*) as n, round(sum(gross_return), 6) as total from labels group by all"),
     "replay_whole": sql("select sym, count(*) as n, round(sum(close), 5) as total from bars group by sym"),
     "vendor_times_all": f"select event_id, {text_of('''timezone('UTC', timezone('America/New_York', ts))''')} as ts from events",
     "assembled": sql(f"""select sym, session, count(*) as n, sum(is_traded::int)::bigint as traded, sum(is_gap::int)::bigint as gaps, sum(is_halt::int)::bigint as halts from flagged group by sym, session"""),
 }
-ORACLES["decision_rules"] = f"""select sym, auc >= 0.5 + 3 * 0.0016 as beats_null, tail_accuracy >= breakeven_1x as tail_pays, breakeven_2x between 0.55 and 0.57 as floor_holds
-    from ({ORACLES['barrier_stats']}) join ({ORACLES['study_corr_sign']}) using (sym) join ({ORACLES['tail_accuracy']}) using (sym)"""
+ORACLES |= {
+    "permutation_null": sql("select sym, b, round(auc, 8) as auc from null_aucs"),
+    "auc_deflation": sql("""select sym, round(mean, 8) as mean, round(spread, 8) as spread, case when spread >= 0.05 then 'unstable' when mean < 0.5 then 'no_edge'
+        when mean > 0.9 then 'edge' else 'ambiguous' end as verdict from (select sym, avg(p) as mean, max(p) - min(p) as spread from (
+            select sym, b // 4 as seed, pow(avg((round(auc, 8) <= observed)::int), 4) as p from null_aucs
+            join (select sym, round(avg(auc), 8) as observed from folds_6_2 group by sym) using (sym) group by sym, b // 4) group by sym)"""),
+    "ablation_shares": sql("""select sym, full_auc, calendar_auc, market_auc, calendar_share, market_share, case when c >= 0.5 * f then 'base_rate' when market_auc >= 0.5 + 0.75 * f then 'conditional_edge' else 'ambiguous' end as verdict from (
+        select sym, full_auc, calendar_auc, market_auc, round((calendar_auc - 0.5) / nullif(full_auc - 0.5, 0), 4) as calendar_share,
+            round((market_auc - 0.5) / nullif(full_auc - 0.5, 0), 4) as market_share, calendar_auc - 0.5 as c, full_auc - 0.5 as f
+        from (select sym, round(avg(auc), 8) as full_auc from folds_all group by sym) join (select sym, round(avg(auc), 8) as calendar_auc from folds_clock group by sym) using (sym)
+        join (select sym, round(avg(auc), 8) as market_auc from folds_6_2 group by sym) using (sym))"""),
+    "tail_accuracies": sql("""select sym, quantile, round(avg(acc), 8) as tail_accuracy from (
+        select sym, split, quantile, (sum(case when score >= hi and positive then weight else 0 end) + sum(case when score <= lo and not positive then weight else 0 end))
+            / (sum(case when score >= hi then weight else 0 end) + sum(case when score <= lo then weight else 0 end)) as acc
+        from scored_6_2 s join (select sym, split, bucket, 0.1::double as quantile, quantile_cont(score, 0.1) as lo, quantile_cont(score, 0.9) as hi, count(*) as k from scored_6_2 group by all
+            union all select sym, split, bucket, 0.25, quantile_cont(score, 0.25), quantile_cont(score, 0.75), count(*) from scored_6_2 group by sym, split, bucket) q using (sym, split, bucket)
+        where k >= 2 and n >= 10 group by sym, split, quantile) group by sym, quantile"""),
+    "lockbox_touches": """select concat(event_type, '-', user_id) as dataset_id, count(*) as touches, greatest(2 - count(*), 0)::bigint as remaining, count(*) >= 2 as burned
+        from events group by 1""",
+    "new_trials": f"""select dataset_id, trial_hash, {text_of('min(ts)')} as registered_at from (
+        select event_type as dataset_id, substr(sha256(concat(event_type, '|', user_id, '|', hour(ts))), 1, 16) as trial_hash, ts, ts::date >= lo + ((hi - lo) // 2)::int as late
+        from events, (select min(ts::date) as lo, max(ts::date) as hi from events)) group by dataset_id, trial_hash having bool_and(late)""",
+    "shuffled_labels": sql(f"""select x.sym, {text_of('x.decision_ts')} as decision_ts, y.label from indexed x join (
+        select sym, label, row_number() over (partition by sym order by md5(concat_ws('|', sym, i, '11')), i) - 1 as place from indexed) y on y.sym = x.sym and y.place = x.i"""),
+    "shuffled_label_blocks": sql(f"""select x.sym, {text_of('x.decision_ts')} as decision_ts, y.label from indexed x join (
+        select sym, case when b < k then place * 30 + i % 30 else i end as at, label from (select *, i // 30 as b, count(*) over (partition by sym) // 30 as k from indexed)
+        left join (select sym, b, row_number() over (partition by sym order by md5(concat_ws('|', sym, b, '11')), b) - 1 as place
+            from (select distinct sym, i // 30 as b, (count(*) over (partition by sym)) // 30 as k from indexed) where b < k) using (sym, b)) y on y.sym = x.sym and y.at = x.i"""),
+}
+ORACLES["decision_rules"] = f"""with null_rows as ({ORACLES['permutation_null']}) select sym, auc >= null_mean + 3 * null_std as beats_null, tail_accuracy >= breakeven_1x as tail_pays,
+    breakeven_2x between 0.55 and 0.57 as floor_holds
+    from ({ORACLES['barrier_stats']}) join ({ORACLES['study_corr_sign']}) using (sym) join ({ORACLES['tail_accuracy']}) using (sym)
+    left join (select sym, avg(auc) as null_mean, stddev_samp(auc) as null_std from null_rows group by sym) using (sym)"""

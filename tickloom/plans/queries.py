@@ -23,6 +23,8 @@ from tickloom.sources.lake import Lake
 from tickloom.streaming.bars import stream_ohlcv
 
 STEP, H_BARS, SCOPE = "15 minutes", 30, ("PRE", "RTH", "POST")
+#: Permutations of a seed, seeds, and the seed that the hash gets.
+PERMUTATIONS, SEEDS, NULL_SEED = 4, 2, 5
 STUDIED = ("ret_1b", "ret_5b", "range_vol", "rel_volume")
 LAGGED = ("ret_1b", "ret_5b", "ret_15b", "ret_30b", "ewma_vol", "range_vol", "rel_volume")
 FLAGS = ("minute_of_day", "is_pre", "is_rth", "is_post")
@@ -176,10 +178,11 @@ def feature_matrix(spark, sf):
 
 @query
 def asof_context(spark, sf):
+    """Every symbol's bars with the last symbol's as context."""
     rows = tagged(spark, sf)
-    first, last = events(spark, sf).agg(F.min("event_type"), F.max("event_type")).first()
-    made = X.build_features(rows.where(F.col("sym") == first), [X.ContextReturn("other")], context={"other": rows.where(F.col("sym") == last)})
-    return made.select(*text("ts", "ctx_ts"), *rounded("ctx_close"))
+    last = events(spark, sf).agg(F.max("event_type")).first()[0]
+    made = X.build_features(rows, [X.ContextReturn("other")], context={"other": rows.where(F.col("sym") == last)})
+    return made.select("sym", *text("ts", "ctx_ts"), *rounded("ctx_close"))
 
 
 @query
@@ -209,7 +212,7 @@ def barrier_stats(spark, sf):
 def decision_rules(spark, sf):
     """The pre-declared verdicts over a study's rank metric, a tail's accuracy and the costs' breakeven."""
     rows = barrier_stats(spark, sf).join(study_corr_sign(spark, sf).select("sym", "auc"), "sym").join(tail_accuracy(spark, sf), "sym")
-    rows = rows.withColumns({"null_mean": F.lit(0.5), "null_std": F.lit(0.0016)})
+    rows = rows.join(overfitting.null_summary(null_aucs(spark, sf)), "sym", "left")
     verdicts = quotes.decisions(rows, observed="auc", null_mean="null_mean", null_std="null_std", breakeven2="breakeven_2x", tail="tail_accuracy", breakeven1="breakeven_1x")
     return verdicts.select("sym", "beats_null", "tail_pays", "floor_holds")
 
@@ -336,6 +339,74 @@ def inner_fold(spark, sf):
     return splits.inner_fold(train, 0.2).groupBy("sym", "split", F.coalesce("fold", F.lit("purged")).alias("fold")).agg(F.count("*").alias("n"))
 
 
+def null_aucs(spark, sf) -> DataFrame:
+    """sym, b, auc of studies of permuted labels."""
+    null = overfitting.permutation_null(Study(6, 2), studied(spark, sf), CorrelationSign(), STUDIED, H_BARS, PERMUTATIONS * SEEDS, seed=NULL_SEED)
+    return null.withColumn("auc", F.round("auc", 9))
+
+
+@query
+def permutation_null(spark, sf):
+    return null_aucs(spark, sf).select("sym", "b", *rounded("auc"))
+
+
+@query
+def auc_deflation(spark, sf):
+    """The study's metric, deflated by the permutations of each seed for as many trials as there are features."""
+    observed = study_corr_sign(spark, sf).select("sym", F.col("auc").alias("observed"))
+    null = null_aucs(spark, sf).withColumn("seed", F.floor(F.col("b") / PERMUTATIONS)).join(observed, "sym")
+    below = F.avg((F.round("auc", 8) <= F.col("observed")).cast("double"))
+    by_seed = null.groupBy("sym", "seed").agg(F.pow(below, len(STUDIED)).alias("probability"))
+    return quotes.deflation_verdict(by_seed, ["sym"]).select("sym", *rounded("mean", "spread"), "verdict")
+
+
+@query
+def ablation_shares(spark, sf):
+    """What the calendar's features and the market's keep of the study's excess over chance."""
+    rows = cut(dataset(spark, sf).withColumns({c: F.round(c, 9) for c in STUDIED}))
+    def auc(name: str, features: tuple[str, ...]) -> DataFrame:
+        return Study(6, 2).run(rows, CorrelationSign(), features, H_BARS).select("sym", F.round("auc", 8).alias(name))
+
+    found = auc("full_auc", STUDIED + FLAGS).join(auc("calendar_auc", FLAGS), "sym").join(auc("market_auc", STUDIED), "sym")
+    made = quotes.ablations(found, full="full_auc", calendar="calendar_auc", market="market_auc")
+    return made.select("sym", "full_auc", "calendar_auc", "market_auc", *rounded("calendar_share", "market_share", digits=4), "verdict")
+
+
+@query
+def tail_accuracies(spark, sf):
+    """Two tails of the study's scores, within buckets, over splits of ten resolved rows and more."""
+    study = Study(6, 2, bucket="bucket")
+    return study.tail_accuracies(studied(spark, sf), CorrelationSign(), STUDIED, H_BARS, (0.1, 0.25), within_bucket=True).select("sym", "quantile", *rounded("tail_accuracy"))
+
+
+@query
+def lockbox_touches(spark, sf):
+    """Each event a touch of a dataset of its own type and user."""
+    touches = events(spark, sf).select(F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("dataset_id"))
+    return registry.touch_counts(touches)
+
+
+@query
+def new_trials(spark, sf):
+    """Trials of the events that a registry of those before the middle of their dates lacks."""
+    ident = F.substring(F.sha2(F.concat_ws("|", "event_type", F.col("user_id").cast("string"), F.hour("ts").cast("string")), 256), 1, 16)
+    rows = events(spark, sf).select(F.col("event_type").alias("dataset_id"), ident.alias("trial_hash"), F.col("ts").alias("registered_at"))
+    first, last = dates(spark, sf)
+    middle = F.lit(first + (last - first) / 2)
+    known = registry.distinct_trials(rows.where(F.to_date("registered_at") < middle))
+    return registry.new_trials(rows.where(F.to_date("registered_at") >= middle), known).select("dataset_id", "trial_hash", *text("registered_at"))
+
+
+@query
+def shuffled_labels(spark, sf):
+    return leakage.shuffle_labels(labelled(spark, sf), 11).select("sym", *text("decision_ts"), "label")
+
+
+@query
+def shuffled_label_blocks(spark, sf):
+    return leakage.shuffle_label_blocks(labelled(spark, sf), 11, overfitting.block_bars(H_BARS, 1)).select("sym", *text("decision_ts"), "label")
+
+
 @query
 def label_shuffle(spark, sf):
     """Labels dealt anew: their counts stay."""
@@ -352,12 +423,12 @@ def stream_bars(spark, sf):
     """The bars again, by a stream over the events: all that the watermark has closed, and at the end the rest."""
     source = spark.read.parquet(f"{sf}/events.parquet")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"stream_bars_{uuid.uuid4().hex}"
+    at = scratch(spark)
+    # the complete mode's result has all bars, closed or not
     made = stream_ohlcv(B.ticks_of(stream), STEP)
-    # the complete mode's table has all bars, closed or not
-    run = made.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select("sym", *text("ts"), *rounded("open", "high", "low", "close", "volume", "wap"), "bar_count")
+    run = made.writeStream.outputMode("complete").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{at}/bars"))
+    run.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/bars").select("sym", *text("ts"), *rounded("open", "high", "low", "close", "volume", "wap"), "bar_count")
 
 
 @query
@@ -382,9 +453,11 @@ def replay_source(spark, sf):
 
 @query
 def vendor_times(spark, sf):
-    """Naive local times as UTC."""
-    rows = events(spark, sf).where("event_id % 50 = 0").select("event_id", F.to_utc_timestamp("ts", "America/New_York").alias("ts"))
-    return rows.select("event_id", *text("ts"))
+    """Naive local times as UTC: each event as a vendor's row."""
+    price = {c: 100 + F.col("value") / 100 for c in ("open", "high", "low", "close")}
+    rows = events(spark, sf).withColumns({**price, "volume": F.lit(1.0), "bar_count": F.lit(None), "wap": F.lit(None)})
+    made = history.neutral(rows, F.col("event_id").cast("string"), "America/New_York", "ts")
+    return made.select(F.col("sym").cast("bigint").alias("event_id"), *text("ts"))
 
 
 @query
