@@ -71,6 +71,13 @@ def release() -> None:
         trim(0)
 
 
+def unused(columns: list[str], prefix: str) -> str:
+    """A prefix that none of the columns has."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def small_enough(df: DataFrame, row_bytes: int, bound: int = BROADCAST_BYTES) -> bool:
     """Whether df, counted, stays under the bound of what may be broadcast."""
     return df.limit(bound // row_bytes + 1).count() <= bound // row_bytes

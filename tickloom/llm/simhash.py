@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, words_of
+from .common import cut, map_arrow, unused, words_of
 
 WORDS, DISTANCE, SEED = 3, 2, 42
 #: Fingerprints on which the tree of shards is grown, at most, and those that a shard should hold, about.
@@ -253,10 +253,11 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     found = cut(near_duplicates(docs, **options))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_first")
     first = found.groupBy("root").agg(first).select(F.col("_first.doc_id").alias("_kept"), F.col("_first.text_hash").alias("_hash"))
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = hashed["doc_id"].cast("long").eqNullSafe(first["_kept"]) & (hashed["_text_hash"] == first["_hash"])
+    text_hash, nth = ((p := unused(docs.columns, "_sim")) + "_hash"), p + "_nth"
+    hashed = docs.withColumn(text_hash, F.xxhash64("text"))
+    same = hashed["doc_id"].cast("long").eqNullSafe(first["_kept"]) & (hashed[text_hash] == first["_hash"])
     there = hashed.join(first, same, "left_semi")
     if found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():  # only then texts move once more
-        again = Window.partitionBy("doc_id", "_text_hash").orderBy(F.lit(0))
-        there = there.withColumn("_nth", F.row_number().over(again)).where("_nth = 1")
+        again = Window.partitionBy("doc_id", text_hash).orderBy(F.lit(0))
+        there = there.withColumn(nth, F.row_number().over(again)).where(F.col(nth) == 1)
     return there.select(*docs.columns)
