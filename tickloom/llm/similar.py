@@ -3,9 +3,12 @@
 Candidates share a band: BANDS keys of ROWS minhashes each, so that a pair at exactly 0.8 shares none with a chance of 5e-8,
 and a closer pair with less. A candidate pair goes on if four bits of each of its minhashes agree so often that it may be at
 0.8 (one at 0.8 fails with a chance of 2e-11), and is then verified on the shingles themselves, so that no link is wrong.
-Keys of few texts give all their pairs. In keys of many, texts are compared with centres first, round by round, as long as a
-round halves what is still apart; then each text outside its key's largest component is compared with all of the key that
-are in other components, dealt by salt. No pair that could join two components is left out.
+
+Keys of few texts give all their pairs. In a key of many each text is compared with the centre, the text that shares the
+most with others. Links to centres join whoever has them; the texts of a key that these leave apart from most of it are searched for by prefixes: in
+the order of how rare shingles are, texts that are similar share one among the first of each, as many of them as the sizes
+of both leave room for. So copies of a text whose edits set them too far apart don't meet pair by pair, nor do
+texts that only share a passage, whose rarest shingles lie elsewhere; and no pair at 0.8 is left out.
 
 Defined cases. Null and empty text: no links. Very long texts: read whole. Fewer words than a shingle has: one shingle of them all. Equal texts: one
 text. An empty table gives empty tables. Only doc_id and text are looked at.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +26,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, small_enough, words_of
-from .simhash import components, fingerprint
+from .common import BROADCAST_BYTES, cut, map_arrow, small_enough, words_of
+from .simhash import fingerprint
 
 WORDS, BANDS, ROWS = 5, 32, 4
-#: A key of more texts is hot; a salt's share of its texts, about.
-HOT, SALTED = 32, 1024
-#: Rounds of centres at most, and how many pairs a text may still have before one more is worth it.
-CENTRE_ROUNDS, PAIRS_LEFT = 8, 16
+#: A key of more texts is hot.
+HOT = 32
+#: Shingles whose frequency is known when prefixes are chosen, at most; it changes the time, no result. Ratio of size classes.
+FREQUENT, SIZE_CLASS = 100_000, 1.05
 #: Of the minhashes' four bits so many may differ in a pair that goes on.
 MOST_DIFFER = 56
 
@@ -96,59 +100,127 @@ def _may_be(a: str, b: str) -> Column:
 
 
 def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs(a, fa, b, fb) of text hashes and fingerprints, those at 0.8 and more: a, b, the fingerprints."""
+    """Of pairs(a, fa, b, fb) of text hashes and fingerprints, those at 0.8 and more."""
     pairs = cut(pairs)
-    both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
+    seconds = sets.join(_little(pairs.select(F.col("b").alias("text_hash")).distinct(), 32), "text_hash", "left_semi").toDF("b", "hb")
+    if (seconds.agg(F.sum(64 + 8 * F.size("hb"))).first()[0] or 0) <= BROADCAST_BYTES:  # centres, mostly
+        seconds = F.broadcast(seconds)
+    both = pairs.join(sets.toDF("a", "ha"), "a").join(seconds, "b")
     shared = F.size(F.array_intersect("ha", "hb"))
-    return cut(both.where(9 * shared >= 4 * (F.size("ha") + F.size("hb"))).select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+    return cut(both.where(9 * shared >= 4 * (F.size("ha") + F.size("hb"))).select("a", "fa", "b", "fb"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    """pairs(x, fx, bx, y, fy, by) that may be similar, once each, as a < b."""
+    """pairs(x, fx, y, fy) once each, as a < b."""
     x, y = (F.struct(F.col(n).alias("id"), F.col(f).alias("fp")) for n, f in (("x", "fx"), ("y", "fy")))
-    pairs = pairs.where("x <> y and fx <> fy").where(_may_be("bx", "by")).select(F.least(x, y).alias("l"), F.greatest(x, y).alias("g"))
+    pairs = pairs.where("x <> y and fx <> fy").select(F.least(x, y).alias("l"), F.greatest(x, y).alias("g"))
     return pairs.select(F.col("l.id").alias("a"), F.col("l.fp").alias("fa"), F.col("g.id").alias("b"), F.col("g.fp").alias("fb")).distinct()
 
 
-def similar(docs: DataFrame, *, hot: int = HOT, salted: int = SALTED) -> tuple[DataFrame, DataFrame]:
+def size_class(size: int | np.ndarray):
+    return np.floor(np.log(size) / math.log(SIZE_CLASS)).astype(np.int32)
+
+
+def overlap(size: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Shingles that sets of these sizes share at least if they are similar by 0.8."""
+    return -(-4 * (size + other) // 9)
+
+
+PREFIXES = "x bigint, fx bigint, size int, token bigint, class int, place int, searched boolean, probes boolean"
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], tokens: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (text_hash, fp, hashes, searched): the first shingles of each in order of frequency; of those that are searched for
+    also in every size class in which a similar text may have them at such a place."""
+    names = [c.split()[0] for c in PREFIXES.split(", ")]
+    for batch in batches:
+        out: list[list[np.ndarray]] = [[] for _ in names]
+        for x, fx, hashes, searched in zip(*(batch.column(i).to_pylist() if i != 2 else batch.column(i) for i in range(4))):
+            h = hashes.values.to_numpy(zero_copy_only=False)
+            if not len(h):
+                continue
+            at = np.minimum(np.searchsorted(tokens, h), max(0, len(tokens) - 1))
+            often = np.where(tokens[at] == h, counts[at], 0) if len(tokens) else np.zeros(len(h), dtype=np.int64)
+            size = len(h)
+            first = h[np.lexsort((h, often))][: size - -(-4 * size // 5) + 1]
+            place = np.arange(len(first), dtype=np.int32)
+            parts = [(first, np.full(len(first), size_class(size)), place, np.zeros(len(first), dtype=bool))]
+            if searched:
+                others = np.arange(-(-4 * size // 5), 5 * size // 4 + 1)
+                # of sizes in a class the smallest leaves the most room
+                classes, smallest = np.unique(size_class(others), return_index=True)
+                room = size - overlap(size, others[smallest])
+                for c, n in zip(classes, room):
+                    some = place[: max(0, n + 1)]
+                    parts.append((first[some], np.full(len(some), c), some, np.ones(len(some), dtype=bool)))
+            for token, cls, places, probes in parts:
+                n = len(token)
+                for column, v in zip(out, (np.full(n, x), np.full(n, fx), np.full(n, size, dtype=np.int32), token, cls.astype(np.int32), places, np.full(n, searched), probes)):
+                    column.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], k) for c, k in zip(out, kinds)], names=names)
+
+
+def _searched(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of texts(text_hash, fp, searched) that may be similar, one of them searched for."""
+    there = cut(texts.join(sets, "text_hash").select("text_hash", "fp", "hashes", "searched"))
+    often = there.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    known = often.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()  # FREQUENT rows at most
+    tokens, counts = (known.column(c).to_numpy() for c in ("token", "n"))
+    order = np.argsort(tokens)
+    found = cut(map_arrow(there, partial(_prefixes, tokens=tokens[order], counts=counts[order]), PREFIXES))
+    probes = found.where("probes").drop("probes", "searched")
+    held = found.where("not probes").select(F.col("x").alias("y"), F.col("fx").alias("fy"), F.col("size").alias("other"), "token", "class", F.col("place").alias("there"), "searched")
+    need = F.ceil(4 * (F.col("size") + F.col("other")) / 9)
+    room = F.least(F.col("size") - F.col("place"), F.col("other") - F.col("there"))
+    once = (F.col("x") < F.col("y")) | (~F.col("searched") & (F.col("x") != F.col("y")))  # of two that are searched for one asks
+    return _ordered(probes.join(held, ["token", "class"]).where(once & (room >= need)))
+
+
+def _apart(many: DataFrame, central: DataFrame, centres: DataFrame, links: DataFrame) -> DataFrame:
+    """text_hash of those that links to centres leave apart from most of a key.
+
+    A text's home is the weightiest centre that it has a link to, or that this one has in turn. Texts of one home are joined;
+    so of any two of a key that aren't, one is none of the key's largest home.
+    """
+    heads = cut(centres.select(F.col("y").alias("x")).distinct().join(central, "x"))
+    both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    towards = both.join(_little(heads.withColumnRenamed("x", "y"), 32), "y").select("x", "weight", "y")
+    towards = towards.unionByName(heads.select("x", "weight", F.col("x").alias("y")))
+    home = cut(towards.groupBy("x").agg(F.max(F.struct("weight", "y"))["y"].alias("home")))
+    of_heads = home.select(F.col("x").alias("home"), F.col("home").alias("further")).join(_little(heads.select(F.col("x").alias("home")), 32), "home", "left_semi")
+    home = home.join(_little(of_heads, 32), "home").select("x", F.col("further").alias("home"))
+    placed = cut(many.select("key", "x").join(home, "x", "left").withColumn("home", F.coalesce("home", "x")))
+    sizes = placed.groupBy("key", "home").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "home"))["home"].alias("largest"))
+    return cut(placed.join(_little(largest, 32), "key").where("home <> largest").select(F.col("x").alias("text_hash")).distinct().withColumn("searched", F.lit(True)))
+
+
+def similar(docs: DataFrame, *, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """doc_id, fp and text_hash of every row, as simhash.fingerprints() gives them; and links a, b between fingerprints."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     signed = cut(map_arrow(rows, _signed, SIGNED))
     texts = cut(signed.groupBy("text_hash").agg(*[F.first(c).alias(c) for c in ("fp", "keys", "bits")]))
     keyed = texts.select("text_hash", "fp", "bits", F.explode("keys").alias("key"))
-    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(shared)
     members = cut(keyed.join(_little(shared, 48), "key").select("key", "n", F.col("text_hash").alias("x"), F.col("fp").alias("fx"), F.col("bits").alias("bx")))
     few, many = members.where(F.col("n") <= hot), members.where(F.col("n") > hot)
     other = few.select("key", F.col("x").alias("y"), F.col("fx").alias("fy"), F.col("bx").alias("by"))
-    pairs = cut(_ordered(few.join(other, "key").where("x < y")))
+    near = few.join(other, "key").where("x < y").where(_may_be("bx", "by"))
+    central = cut(many.groupBy("x").agg(F.sum("n").alias("weight")))
+    centres = many.join(central, "x").groupBy("key").agg(F.max(F.struct("weight", "x", "fx", "bx")).alias("c"))
+    centres = cut(centres.select("key", F.col("c.x").alias("y"), F.col("c.fx").alias("fy"), F.col("c.bx").alias("by")))
+    stars = cut(many.join(_little(centres, 192), "key").where("x <> y").select("x", "fx", "y", "fy", _may_be("bx", "by").alias("may")).distinct())
+    pairs = cut(_ordered(near.select("x", "fx", "y", "fy").unionByName(stars.where("may").drop("may"))))
     # the shingles of every text that is compared, computed once
     named = pairs.select(F.col("a").alias("text_hash")).unionByName(pairs.select(F.col("b").alias("text_hash"))).unionByName(many.select(F.col("x").alias("text_hash")))
     there = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(_little(cut(named.distinct()), 32), "text_hash", "left_semi")
     sets = cut(map_arrow(there.groupBy("text_hash").agg(F.first("text").alias("text")), _sets, "text_hash bigint, hashes array<bigint>"))
-    edges, before = _verified(sets, pairs), math.inf
-    for nth in range(CENTRE_ROUNDS + 1):
-        roots = components(edges).toDF("fx", "root")
-        placed = many.join(roots, "fx", "left").withColumn("root", F.coalesce("root", "fx"))
-        by_root = placed.groupBy("key", "root").agg(F.count("*").alias("n_root"))
-        largest = by_root.groupBy("key").agg(F.max(F.struct("n_root", "root")).alias("top"), F.count("*").alias("n_roots"))
-        largest = cut(largest.where("n_roots > 1").select("key", F.col("top.root").alias("top"), F.col("top.n_root").alias("n_top")))
-        placed = cut(placed.join(_little(largest, 64), "key"))
-        keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.sum((F.col("root") != F.col("top")).cast("long")).alias("n_apart"))
-        apart, texts_left = keys.agg(F.sum(F.col("n").cast("double") * F.col("n_apart")), F.sum("n")).first()
-        if not apart:
-            break
-        if nth < CENTRE_ROUNDS and apart > PAIRS_LEFT * texts_left and 2 * apart <= before:
-            before = apart
-            # equal across keys as far as they hold the same texts; the first round takes any text, later ones those still apart
-            centre = F.min(F.when((F.col("root") != F.col("top")) | F.lit(nth == 0), F.struct(F.xxhash64("x", F.lit(nth)), "x", "fx", "bx", "root")))
-            centres = placed.groupBy("key").agg(centre.alias("c")).select("key", F.col("c.x").alias("y"), F.col("c.fx").alias("fy"), F.col("c.bx").alias("by"), F.col("c.root").alias("of"))
-            pairs = placed.join(_little(centres, 192), "key").where("root <> of")
-            edges = cut(edges.unionByName(_verified(sets, _ordered(pairs))))
-            continue
-        salts = F.greatest(F.lit(1), F.ceil(F.col("n") / salted)).cast("int")
-        sides = placed.select("key", "n", "x", "fx", "bx", "root", "top")
-        left = sides.where("root <> top").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        right = sides.select("key", F.pmod(F.xxhash64("x"), salts.cast("long")).cast("int").alias("salt"), F.col("x").alias("y"), F.col("fx").alias("fy"), F.col("bx").alias("by"), F.col("root").alias("of"))
-        edges = edges.unionByName(_verified(sets, _ordered(left.join(right, ["key", "salt"]).where("root <> of"))))
-        break
-    return signed.select("doc_id", "fp", "text_hash"), edges
+    links = _verified(sets, pairs)
+    apart = _apart(many, central, centres, links.select("a", "b").unionByName(stars.where("fx = fy").select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    if apart.limit(1).count():
+        hot_texts = many.select(F.col("x").alias("text_hash"), F.col("fx").alias("fp")).distinct()
+        marked = hot_texts.join(_little(apart, 32), "text_hash", "left").withColumn("searched", F.coalesce("searched", F.lit(False)))
+        links = links.unionByName(_verified(sets, _searched(sets, marked)))
+    return signed.select("doc_id", "fp", "text_hash"), links.select(F.col("fa").alias("a"), F.col("fb").alias("b"))
