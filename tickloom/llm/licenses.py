@@ -3,18 +3,22 @@
 Texts and templates are lower-case words of letters and digits (4.0 and by-nc count as two and more). Every run of three
 words of a template is posted in an inverted index. Of a document's runs those made of template words alone can match; of
 each window of two neighbouring ones the smaller hash is looked up, so that a passage of four words and more that a
-template shares is always found. Hits on neighbouring diagonals make a candidate, and a local alignment within a band about
-the diagonal gives the words that match. Where candidates overlap, the one of the higher score stays.
+template shares is always found. Whoever matches 0.8 of a template shares such a passage, but for templates of a few
+lengths; of these the longest runs that are sure to be shared are posted, and all of a document's runs looked up. Hits on
+neighbouring diagonals make a candidate, and a local alignment within a band about the diagonal gives the words that match.
+Alignments of one template that follow each other, parted by inserted or lost words, are chained, and the chain's words
+count together. Where matches overlap, the one of the higher score stays.
 
 Templates travel with the tasks: their number is bounded by who writes them. No row is shuffled.
 
-Defined cases. Null and empty text: no match. Repeated rows: each is scanned. The same template twice in a text: two
+Defined cases. Null and empty text: no match. Very long texts: scanned whole. Repeated rows: each is scanned. The same template twice in a text: two
 matches. Equal scores: the higher coverage, then the earlier place, then the name. An empty table gives an empty table.
 Other columns are not looked at. Short templates (fewer than four words) are refused with ValueError.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,8 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-RUN, WINDOW, LEAST_COVERAGE, WIDEST_BAND = 3, 2, 0.8, 12
+RUN, WINDOW, LEAST_COVERAGE = 3, 2, 0.8
+#: Diagonals of hits that are no further apart are aligned together, in a band that goes so much beyond them.
+NEAR = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Words that may stand between a chain's alignments, at least; a template's own length if that is more.
+INSERTED = 100
 
 # fixed values: public license statements and notices
 TEMPLATES: list[tuple[str, str]] = [
@@ -75,13 +83,19 @@ _WORD = re.compile(rb"[a-z0-9]+")
 NOT_KNOWN = -1
 
 
+def sure_run(words: int, least_coverage: float = LEAST_COVERAGE) -> int:
+    """The longest run that a text surely shares with a template of so many words if it matches so much of it."""
+    lost = words - math.ceil(least_coverage * words - 1e-9)
+    return max(1, -(-(words - lost) // (lost + 1)))
+
+
 class Index:
-    """Templates as word numbers, and where each of their runs stands."""
+    """Templates as word numbers, and where each of their runs stands, by the runs' length and whether they are winnowed."""
 
-    def __init__(self, templates: list[tuple[str, str]]):
+    def __init__(self, templates: list[tuple[str, str]], least_coverage: float = LEAST_COVERAGE):
         self.number: dict[bytes, int] = {}
         self.names, self.words = [], []
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.postings: dict[tuple[int, bool], dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for name, text in templates:
             ids = [self.number.setdefault(w, len(self.number)) for w in _WORD.findall(text.encode().lower())]
             if len(ids) < RUN + WINDOW - 1:
@@ -89,70 +103,93 @@ class Index:
             self.names.append(name)
             self.words.append(np.array(ids, dtype=np.int64))
         for t, ids in enumerate(self.words):
-            for at, h in enumerate(self.hashes(ids).tolist()):
-                self.postings[h].append((t, at))
-        self.known = np.array(sorted(self.postings), dtype=np.int64)
+            sure = sure_run(len(ids), least_coverage)
+            kind = (RUN, True) if sure >= RUN + WINDOW - 1 else (min(RUN, sure), False)
+            for at, h in enumerate(self.hashes(ids, kind[0]).tolist()):
+                self.postings[kind][h].append((t, at))
+        self.known = {kind: np.array(sorted(posted), dtype=np.int64) for kind, posted in self.postings.items()}
 
-    def hashes(self, ids: np.ndarray) -> np.ndarray:
+    def hashes(self, ids: np.ndarray, run: int = RUN) -> np.ndarray:
         """Of runs, from 1 on; of those with a word that no template has, the largest number."""
-        found = np.zeros(len(ids) - RUN + 1, dtype=np.int64)
-        for k in range(RUN):
+        found = np.zeros(max(0, len(ids) - run + 1), dtype=np.int64)
+        for k in range(run):
             found = (found * 1_000_003 + ids[k : k + len(found)] + 1) & ((1 << 61) - 1)
         # scattered, lest the smaller of two be the one with the commoner words
         found = ((found * 0x9E3779B97F4A7C1 & ((1 << 62) - 1)) ^ (found >> 29)) + 1
         bad = np.zeros(len(found), dtype=bool)
-        for k in range(RUN):
+        for k in range(run):
             bad |= ids[k : k + len(found)] == NOT_KNOWN
         found[bad] = np.iinfo(np.int64).max
         return found
 
     def hits(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """By template, (place in the text, place in the template) of winnowed runs that both have."""
+        """By template, (place in the text, place in the template) of looked-up runs that both have."""
         out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        if len(ids) < RUN:
-            return out
-        h = self.hashes(ids)
-        low = h if len(h) < WINDOW else np.minimum(h[:-1], h[1:])
-        chosen = h == np.concatenate([low, low[-1:]])[: len(h)]
-        chosen[1:] |= h[1:] == low[: len(h) - 1] if len(h) > 1 else False
-        chosen &= h != np.iinfo(np.int64).max
-        for at in np.flatnonzero(chosen & np.isin(h, self.known)).tolist():
-            for t, place in self.postings[int(h[at])]:
-                out[t].append((at, place))
+        for (run, winnowed), known in self.known.items():
+            if len(ids) < run:
+                continue
+            h = self.hashes(ids, run)
+            chosen = h != np.iinfo(np.int64).max
+            if winnowed and len(h) >= WINDOW:
+                low = np.minimum(h[:-1], h[1:])
+                least = h == np.concatenate([low, low[-1:]])
+                least[1:] |= h[1:] == low
+                chosen &= least
+            for at in np.flatnonzero(chosen & np.isin(h, known)).tolist():
+                for t, place in self.postings[run, winnowed][int(h[at])]:
+                    out[t].append((at, place))
         return out
 
 
-def align(text: np.ndarray, template: np.ndarray, band: int) -> tuple[int, int, int, int]:
+def align(text: np.ndarray, template: np.ndarray, band: int) -> tuple[int, int, int, int, int, int]:
     """Best local alignment with places that differ by no more than band from the diagonal: score, words that match,
-    and the span [start, end) in the text. text begins band words before the diagonal's first."""
-    best, width, text = (0, 0, 0, 0), 2 * band + 1, text.tolist()
+    the span [start, end) in the text, and that in the template. text begins band words before the diagonal's first."""
+    best, width, text = (0, 0, 0, 0, 0, 0), 2 * band + 1, text.tolist()
     # cells of a template word: its partner in the text is at word + k, for k from 0 to 2 * band
-    before = [(0, 0, 0)] * width  # score, matches, start
+    before = [(0, 0, 0, 0)] * width  # score, matches, start, the template's start
     for i, word in enumerate(template.tolist()):
-        now: list[tuple[int, int, int]] = []
+        now: list[tuple[int, int, int, int]] = []
         for k in range(width):
             j = i + k
             if j >= len(text):
-                now.append((0, 0, j))
+                now.append((0, 0, j, i))
                 continue
             same = word == text[j]
-            score, n, start = before[k]
+            score, n, start, first = before[k]
             if score <= 0:
-                score, n, start = 0, 0, j
-            cell = (score + (MATCH if same else MISMATCH), n + same, start)
+                score, n, start, first = 0, 0, j, i
+            cell = (score + (MATCH if same else MISMATCH), n + same, start, first)
             if k and now[k - 1][0] + GAP > cell[0]:
                 cell = (now[k - 1][0] + GAP, *now[k - 1][1:])
             if k + 1 < width and before[k + 1][0] + GAP > cell[0]:
                 cell = (before[k + 1][0] + GAP, *before[k + 1][1:])
             if cell[0] <= 0:
-                cell = (0, 0, j)
+                cell = (0, 0, j, i)
             now.append(cell)
             if cell[0] > best[0]:
-                best = (cell[0], cell[1], cell[2], j + 1)
+                best = (cell[0], cell[1], cell[2], j + 1, cell[3], i + 1)
         before = now
     return best
 
 
+def chains(parts: list[tuple[int, int, int, int, int, int]], most_apart: int) -> list[tuple[int, int, int, int]]:
+    """Score, matches and span of each chain of alignments (score, matches, start, end, and the template's), which follow each
+    other in text and template, words of overlap counting once; every chain's beginnings are chains as well."""
+    parts = sorted(set(parts), key=lambda p: (p[2], p[4], p[3], p[5]))
+    best: list[tuple[int, int, int]] = []  # score and matches up to a part, and its chain's start
+    ends = []
+    for i, (score, n, start, _, first, _) in enumerate(parts):
+        found = (score, n, start)
+        for k in range(i):
+            _, m, start_k, end_k, first_k, last_k = parts[k]
+            twice = max(0, end_k - start, last_k - first)
+            if start_k < start <= end_k + most_apart and first_k < first and twice < min(m, n) and best[k][0] + score - MATCH * twice > found[0]:
+                found = (best[k][0] + score - MATCH * twice, best[k][1] + n - twice, best[k][2])
+        best.append(found)
+        ends.append((found[0], found[1], found[2], parts[i][3]))
+    return ends
+
+
 def scan(text: bytes, index: Index, least_coverage: float = LEAST_COVERAGE) -> list[tuple[str, float, int, int, int, int]]:
     """License, coverage, words matched, the template's number, and the span in bytes, by place."""
     lower = text.lower()
@@ -162,23 +199,24 @@ def scan(text: bytes, index: Index, least_coverage: float = LEAST_COVERAGE) -> l
     candidates = []
     for t, hits in index.hits(ids).items():
         template = index.words[t]
-        band = min(WIDEST_BAND, max(1, len(template) // 4))
         diagonals = sorted({at - place for at, place in hits})
         groups: list[list[int]] = []
         for d in diagonals:
-            if groups and d - groups[-1][0] <= band:
+            if groups and d - groups[-1][-1] <= NEAR:
                 groups[-1].append(d)
             else:
                 groups.append([d])
+        parts = []
         for g in groups:
-            middle = (g[0] + g[-1]) // 2
+            middle, band = (g[0] + g[-1]) // 2, (g[-1] - g[0] + 1) // 2 + NEAR
             first = max(0, middle - band)
             part = ids[first : middle + len(template) + band + 1]
             padded = np.concatenate([np.full(first - (middle - band), -2), part])
-            score, n, start, end = align(padded, template, band)
-            if n >= least_coverage * len(template):
-                shift = middle - band
-                candidates.append((-score, -n / len(template), start + shift, end + shift, index.names[t], n, t))
+            score, n, start, end, top, bottom = align(padded, template, band)
+            parts.append((score, n, start + middle - band, end + middle - band, top, bottom))
+        for score, n, start, end in chains(parts, max(INSERTED, len(template))):
+            if n >= least_coverage * len(template) - 1e-9:
+                candidates.append((-score, -n / len(template), start, end, index.names[t], n, t))
     taken: list[tuple] = []
     for c in sorted(candidates):
         if all(c[3] <= x[2] or x[3] <= c[2] for x in taken):
@@ -193,7 +231,7 @@ SCHEMA = "doc_id bigint, license string, coverage double, matched_words bigint,
 
 
 def _scan(batches: Iterator[pa.RecordBatch], templates: list[tuple[str, str]], least_coverage: float) -> Iterator[pa.RecordBatch]:
-    index = Index(templates)
+    index = Index(templates, least_coverage)
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     for batch in batches:
         rows = []
