@@ -45,9 +45,13 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archive(table(spark, sf_dir, "pages"), archive)
-    back = warc.read_archive(spark, archive).select(
+    # responses' payloads are read and hashed; of revisits, which have none, the headers alone are parsed
+    headers = "record_type string, record_id string, refers_to string, payload_digest string, payload_bytes bigint"
+    responses = warc.read_archive(spark, archive, f"{headers}, computed_digest string").where("record_type = 'response'")
+    revisits = warc.read_archive(spark, archive, headers).where("record_type = 'revisit'").withColumn("computed_digest", F.col("payload_digest"))
+    back = responses.unionByName(revisits).select(
         warc.page_number(F.col("record_id")).alias("page_id"), "payload_bytes",
-        F.coalesce("computed_digest", "payload_digest").alias("payload_digest"), "record_type", warc.page_number(F.col("refers_to")).alias("refers_to"),
+        F.col("computed_digest").alias("payload_digest"), "record_type", warc.page_number(F.col("refers_to")).alias("refers_to"),
     )
     found = cut(back)
     delete(spark, archive)

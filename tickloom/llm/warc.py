@@ -33,7 +33,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from .common import small_enough
+from .common import BATCH_BYTES, BATCH_ROWS, cut, small_enough
 
 #: Payloads of fewer bytes are written anew each time.
 LEAST_REVISIT_BYTES = 1000
@@ -275,19 +275,35 @@ class WarcReader(DataSourceReader):
             found = [Stretch(x.path, 0, None) for x in fs.get_file_info(selected) if x.path.endswith((".warc", ".warc.gz"))]
         return found or [Stretch("", 0, 0)]
 
-    def read(self, partition: Stretch) -> Iterator[tuple]:
-        if not partition.file:
-            return
+    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+        for row in self._rows(partition) if partition.file else ():
+            rows.append(row)
+            size += sum(len(v) for v in row if isinstance(v, bytes))
+            if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield self._batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        kinds = {"payload_bytes": pa.int64(), "payload": pa.binary()}
+        columns = [pa.array(c, kinds.get(n, pa.string())) for n, c in zip(self.names, zip(*rows))]
+        return pa.RecordBatch.from_arrays(columns, names=self.names)
+
+    def _rows(self, partition: Stretch) -> Iterator[tuple]:
         fs, _ = filesystem(self.path)
-        payload = bool({"payload", "computed_digest"} & set(self.names))
+        asked = set(self.names)
+        payload = bool({"payload", "computed_digest"} & asked)
         with fs.open_input_file(partition.file) as raw:
             members = Members(raw, partition.start, partition.end, partition.file.endswith(".gz"))
             for h in records(members, self.keeps, payload):
-                whole = h["payload"]
+                held = payload and h.get("warc-type") != "revisit"
                 values = {c: h.get(name) for c, name in HEADERS.items()} | {
                     "payload_digest": hex_digest(h.get("warc-payload-digest")), "payload_bytes": h.get("http_length", h["payload_read"]),
-                    "payload": whole if h.get("warc-type") != "revisit" else None,
-                    "computed_digest": hashlib.sha1(whole).hexdigest() if payload and h.get("warc-type") != "revisit" else None,
+                    "payload": h["payload"] if held else None,
+                    "computed_digest": hashlib.sha1(h["payload"]).hexdigest() if held and "computed_digest" in asked else None,
                 }
                 yield tuple(values[n] for n in self.names)
 
@@ -326,7 +342,7 @@ def record_rows(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> Dat
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
     # of payloads that occur once nothing need be looked up
     twice = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("of"), F.count("*").alias("n"))
-    twice = twice.where("n > 1 and of is not null").select(F.col("digest").alias("again"), "of")
+    twice = cut(twice.where("n > 1 and of is not null").select(F.col("digest").alias("again"), "of"))
     if small_enough(twice, 64):
         twice = F.broadcast(twice)
     rows = rows.join(twice, (F.col("digest") == F.col("again")) & (F.col("payload_bytes") >= least_bytes), "left")
