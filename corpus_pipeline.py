@@ -2,15 +2,22 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. The
 mix repeats a document that it takes twice, and packing packs each of those rows.
+
+Defined cases. Null or empty text: rejected by the quality rules; given to a later stage alone, it is near no other text but
+one without words, has size 0 in the mix and is one end id when packed. Null doc_id or source, ties: as the modules say. Very
+long texts: read whole. Rows that repeat id and text: near-dedup keeps one. Extra columns, whatever their names, go through
+all stages but the last. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import mixing, packing, rules, simhash, similar
-from tickloom.llm.common import shared_dir
+from tickloom.llm.common import delete, shared_dir
 from tickloom.llm.queries import label_quality, table, tokenizer_path
 
 
@@ -50,9 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{spark.sparkContext.applicationId}"
+    """All stages over documents, each written into a folder of this run's own and read again; a stage's rows are deleted once
+    the next one's are written."""
+    docs, base, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", ""
     for n, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(at := f"{base}/{n}-{name}")
+        stage(spark, docs, sf_dir).write.parquet(at := f"{base}/{n}-{name}")
         docs = spark.read.parquet(at)
+        if before:
+            delete(spark, before)
+        before = at
     return docs
