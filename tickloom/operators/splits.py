@@ -18,8 +18,7 @@ def indexed(labels: DataFrame, order: str = "decision_ts") -> DataFrame:
 
 def with_groups(rows: DataFrame, n_groups: int) -> DataFrame:
     """Adds n and g: group g begins at floor(g * n / n_groups). (ntile would part them otherwise.)"""
-    rows = cut(rows)
-    sizes = rows.groupBy("sym").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("sym").agg((F.max("i") + 1).alias("n"))
     g = F.expr(f"((i + 1) * {n_groups} - 1) div n").cast("int")
     return rows.join(sizes, "sym").withColumn("g", g)
 
@@ -80,8 +79,7 @@ def uniqueness_weights(rows: DataFrame) -> DataFrame:
     )
     marks = rows.select("sym", "i", F.col("decision_ts").alias("at"), F.lit(1).alias("kind"))
     # entries sort before equal decision times, exits after: the decisions so far are searchsorted's answers
-    both = ends.unionByName(marks).withColumn("_t", F.expr("timestamp_micros(unix_micros(at) * 4 + kind)"))
-    located = prefix_sums(_ranked(both), ["sym"], "_pos", {"below": (F.col("kind") == 1).cast("bigint")}).where("kind <> 1")
+    located = _decisions_before(ends.unionByName(marks).withColumn("_t", F.expr("timestamp_micros(unix_micros(at) * 4 + kind)"))).where("kind <> 1")
     places = located.groupBy("sym", "i").agg(F.max(F.when(F.col("kind") == 0, F.col("below"))).alias("s"), F.max(F.when(F.col("kind") == 2, F.col("below"))).alias("e"))
     n = rows.groupBy("sym").agg(F.count("*").alias("_n"))
     clip = lambda c: F.greatest(F.lit(0), F.least(c, F.col("_n") - 1))
@@ -100,11 +98,13 @@ def uniqueness_weights(rows: DataFrame) -> DataFrame:
     return rows.join(weighed.select("sym", "i", weight.alias("weight")), ["sym", "i"])
 
 
-def _ranked(events: DataFrame) -> DataFrame:
-    """A place for each event in order of _t, ties in any order: they are of one kind."""
+def _decisions_before(events: DataFrame) -> DataFrame:
+    """Adds below: the marks (kind 1) at or before each event in order of _t; ties are of one kind. By a window within a date,
+    and the dates' counts."""
     dated = cut(events.withColumn("_d", F.to_date("at")))
-    counts = dated.groupBy("sym", "_d").agg(F.count("*").alias("_k"))
+    is_mark = (F.col("kind") == 1).cast("bigint")
+    counts = dated.groupBy("sym", "_d").agg(F.sum(is_mark).alias("_k"))
     earlier = F.sum("_k").over(Window.partitionBy("sym").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("sym", "_d", F.coalesce(earlier, F.lit(0)).alias("_off"))
-    within = F.row_number().over(Window.partitionBy("sym", "_d").orderBy("_t"))
-    return dated.withColumn("_r", within).join(offsets, ["sym", "_d"]).withColumn("_pos", F.col("_off") + F.col("_r")).drop("_r", "_off", "_d")
+    within = F.sum(is_mark).over(Window.partitionBy("sym", "_d").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0))
+    return dated.withColumn("_w", within).join(offsets, ["sym", "_d"]).withColumn("below", F.col("_off") + F.col("_w")).drop("_w", "_off", "_d")
