@@ -33,7 +33,7 @@ WORDS, BANDS, ROWS = 5, 32, 4
 #: A key of more texts is hot.
 HOT = 32
 #: Shingles whose frequency is known when prefixes are chosen, at most; it changes the time, no result. Ratio of size classes.
-FREQUENT, SIZE_CLASS = 100_000, 1.05
+FREQUENT, SIZE_CLASS = 400_000, 1.05
 #: Of the minhashes' four bits so many may differ in a pair that goes on.
 MOST_DIFFER = 56
 
@@ -129,9 +129,10 @@ def overlap(size: np.ndarray, other: np.ndarray) -> np.ndarray:
 PREFIXES = "x bigint, fx bigint, size int, token bigint, class int, place int, searched boolean, probes boolean"
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], tokens: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _prefixes(batches: Iterator[pa.RecordBatch], tokens: np.ndarray, counts: np.ndarray, every: bool) -> Iterator[pa.RecordBatch]:
     """Rows (text_hash, fp, hashes, searched): the first shingles of each in order of frequency; of those that are searched for
-    also in every size class in which a similar text may have them at such a place."""
+    also in every size class in which a similar text may have them at such a place. every: tokens are all that occur twice,
+    so that others lead to no text and are left out."""
     names = [c.split()[0] for c in PREFIXES.split(", ")]
     for batch in batches:
         out: list[list[np.ndarray]] = [[] for _ in names]
@@ -142,8 +143,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch], tokens: np.ndarray, counts: np.
             at = np.minimum(np.searchsorted(tokens, h), max(0, len(tokens) - 1))
             often = np.where(tokens[at] == h, counts[at], 0) if len(tokens) else np.zeros(len(h), dtype=np.int64)
             size = len(h)
-            first = h[np.lexsort((h, often))][: size - -(-4 * size // 5) + 1]
-            place = np.arange(len(first), dtype=np.int32)
+            order = np.lexsort((h, often))[: size - -(-4 * size // 5) + 1]
+            place = np.arange(len(order), dtype=np.int32)
+            if every:
+                place, order = place[often[order] > 0], order[often[order] > 0]
+            first = h[order]
             parts = [(first, np.full(len(first), size_class(size)), place, np.zeros(len(first), dtype=bool))]
             if searched:
                 others = np.arange(-(-4 * size // 5), 5 * size // 4 + 1)
@@ -151,8 +155,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], tokens: np.ndarray, counts: np.
                 classes, smallest = np.unique(size_class(others), return_index=True)
                 room = size - overlap(size, others[smallest])
                 for c, n in zip(classes, room):
-                    some = place[: max(0, n + 1)]
-                    parts.append((first[some], np.full(len(some), c), some, np.ones(len(some), dtype=bool)))
+                    some = place <= n
+                    k = int(some.sum())
+                    parts.append((first[some], np.full(k, c), place[some], np.ones(k, dtype=bool)))
             for token, cls, places, probes in parts:
                 n = len(token)
                 for column, v in zip(out, (np.full(n, x), np.full(n, fx), np.full(n, size, dtype=np.int32), token, cls.astype(np.int32), places, np.full(n, searched), probes)):
@@ -168,7 +173,7 @@ def _searched(sets: DataFrame, texts: DataFrame) -> DataFrame:
     known = often.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()  # FREQUENT rows at most
     tokens, counts = (known.column(c).to_numpy() for c in ("token", "n"))
     order = np.argsort(tokens)
-    found = cut(map_arrow(there, partial(_prefixes, tokens=tokens[order], counts=counts[order]), PREFIXES))
+    found = cut(map_arrow(there, partial(_prefixes, tokens=tokens[order], counts=counts[order], every=len(order) < FREQUENT), PREFIXES))
     probes = found.where("probes").drop("probes", "searched")
     held = found.where("not probes").select(F.col("x").alias("y"), F.col("fx").alias("fy"), F.col("size").alias("other"), "token", "class", F.col("place").alias("there"), "searched")
     need = F.ceil(4 * (F.col("size") + F.col("other")) / 9)
