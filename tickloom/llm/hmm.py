@@ -5,7 +5,8 @@ their last letters; latent states emit classes, and a class its words by their s
 parameters have a fixed size whatever the vocabulary. Counts are those of all training documents: tasks turn their
 documents into blocks of word numbers and send each block's vocabulary once, the words' counts are summed over blocks, and
 go back to the blocks. Baum-Welch starts from all training documents' counts, with seeded noise for each state; each of its
-rounds sums expected counts over all training documents, per partition first, until their likelihood settles. The score is the exact log-likelihood by the scaled forward recursion.
+rounds sums expected counts over all training documents, per partition first, until their likelihood settles. Long documents
+are run piece by piece there, exactly. The score is the exact log-likelihood by the scaled forward recursion.
 
 Defined cases. Null text: empty, the end alone. Null doc_id: split as if its text were empty. Repeated rows: each counts
 and is scored. Words that training lacks: they share what is left to their class, as one more word. No training document:
@@ -35,6 +36,10 @@ OWN, ENDINGS, ENDING_BYTES = 4096, 2048, 3
 LEAST_SHARE = 2e-5
 #: Tokens of a block, and of what is run through the recursions at once.
 BLOCK_TOKENS, GROUP_TOKENS = 2_500_000, 250_000
+#: Training cuts longer sequences into pieces of so many tokens, which are run side by side; it changes the time, no result.
+PIECE_TOKENS = 1024
+#: Places that are run without scaling, at most, and powers of ten that products may go through meanwhile.
+MOST_UNSCALED, RANGE = 16, 200
 #: The likelihood has settled once a training token gains less (of log10) in each of so many rounds, one after another.
 LEAST_GAIN, SETTLED_ROUNDS = 1e-4, 2
 END = b""
@@ -133,18 +138,41 @@ def laid_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return flat, begins
 
 
+class Ratios:
+    """A model's emissions as ratios to the states' mean, so that products stay near 1 and needn't be scaled at every place.
+
+    every: places after which they must be, for no path of the states to leave a double's range.
+    """
+
+    def __init__(self, model: Model):
+        mean = model.emit.mean(axis=0)
+        mean = np.where(mean > 0, mean, 1.0)
+        self.of_class = np.ascontiguousarray((model.emit / mean).T)
+        self.log_mean = np.log10(mean)
+        least = min(1.0, float(self.of_class.min()) * min(float(model.step.min()), float(model.start.min())))
+        reach = max(-math.log10(max(least, 1e-300)), math.log10(max(2.0, float(self.of_class.max()))))
+        self.every = max(1, min(MOST_UNSCALED, int(RANGE // reach)))
+
+
 def forward(docs: list[np.ndarray], model: Model) -> np.ndarray:
     """Log10 likelihood of each sequence of classes; none is empty."""
     out = np.zeros(len(docs))
-    emit = np.ascontiguousarray(model.emit.T)
+    ratios, ones = Ratios(model), np.ones(len(model.start))
     for chosen in groups(docs):
         flat, begins = laid_out([docs[i] for i in chosen])
-        total = np.zeros(len(chosen))
-        for t, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist())):
-            now = emit[flat[a:b]] * (model.start if t == 0 else state[: b - a] @ model.step)
-            scale = now.sum(axis=1)
-            now /= scale[:, None]
-            total[: b - a] += np.log10(scale)
+        total, cuts = np.zeros(len(chosen)), [*begins.tolist(), begins[-1]]
+        means = ratios.log_mean[flat]
+        for t in range(len(cuts) - 2):
+            a, b = cuts[t], cuts[t + 1]
+            now = ratios.of_class[flat[a:b]]
+            now *= model.start if t == 0 else state[: b - a] @ model.step
+            total[: b - a] += means[a:b]
+            if t % ratios.every == ratios.every - 1:
+                scale = now @ ones
+                now /= scale[:, None]
+                total[: b - a] += np.log10(scale)
+            if (on := cuts[t + 2] - b) < b - a:  # the others end here
+                total[on : b - a] += np.log10(now[on:] @ ones)
             state = now
         out[chosen] = total
     return out
@@ -155,35 +183,124 @@ def expected(docs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarr
     return expected_and_likelihood(docs, model)[:3]
 
 
-def expected_and_likelihood(docs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+class Pieces:
+    """Sequences cut so that none is longer than `most`, with what the recursions bring to each piece's ends.
+
+    Only a sequence's first piece may be shorter. The others' products of steps and emissions, a matrix each, carry the
+    states' probabilities over them from both sides, exactly; so long sequences run beside each other piece by piece.
+    """
+
+    def __init__(self, docs: list[np.ndarray], model: Model, ratios: Ratios, most: int):
+        k = len(model.start)
+        self.docs: list[np.ndarray] = []
+        begins = []
+        for d in docs:
+            begins.append(len(self.docs))
+            at = (len(d) - 1) % most + 1
+            self.docs += [d[:at], *(d[i : i + most] for i in range(at, len(d), most))]
+        n = len(self.docs)
+        self.first = np.zeros(n, dtype=bool)
+        self.first[begins] = True
+        #: The states' probabilities before a piece, of no meaning for first ones; and what follows it, in any scale.
+        self.before, self.after = np.full((n, k), 1 / k), np.ones((n, k))
+        if self.first.all():
+            return
+        later = np.nonzero(~self.first)[0]
+        over = np.empty((n, k, k))
+        for i in range(0, len(later), 1024):
+            over[later[i : i + 1024]] = carried([self.docs[j] for j in later[i : i + 1024]], model, ratios)
+        long = np.array([i for i in later.tolist() if self.first[i - 1]])
+        self.before[long] = ended([self.docs[i - 1] for i in long], model, ratios)
+        for i in later.tolist():
+            if not self.first[i - 1]:
+                now = self.before[i - 1] @ over[i - 1]
+                self.before[i] = now / now.sum()
+        for i in later[::-1].tolist():
+            back = over[i] @ self.after[i]
+            self.after[i - 1] = back / back.sum()
+
+
+def carried(docs: list[np.ndarray], model: Model, ratios: Ratios) -> np.ndarray:
+    """Products of steps and emissions over sequences of one length, each in a scale of its own."""
+    n, k = len(docs), len(model.start)
+    out = np.repeat(np.eye(k)[:, None], n, axis=1)  # state before, sequence, state now
+    for t, classes in enumerate(np.stack(docs, axis=1)):
+        out = (out.reshape(k * n, k) @ model.step).reshape(k, n, k)
+        out *= ratios.of_class[classes]
+        if t % ratios.every == ratios.every - 1:
+            out /= out.sum(axis=(0, 2))[:, None]
+    return out.transpose(1, 0, 2)
+
+
+def ended(docs: list[np.ndarray], model: Model, ratios: Ratios) -> np.ndarray:
+    """The states' probabilities at the end of sequences from their start; they are run so that all end together."""
+    order = np.argsort([-len(d) for d in docs], kind="stable")
+    flat, begins = laid_out([docs[i][::-1] for i in order])
+    state, on = np.empty((len(docs), len(model.start))), 0
+    for t in range(len(begins) - 2, -1, -1):
+        a, b = begins[t], begins[t + 1]
+        state[:on] = state[:on] @ model.step
+        state[on : b - a] = model.start
+        on = b - a
+        state[:on] *= ratios.of_class[flat[a:b]]
+        if t % ratios.every == 0:
+            state[:on] /= state[:on].sum(axis=1, keepdims=True)
+    out = np.empty_like(state)
+    out[order] = state
+    return out
+
+
+def expected_and_likelihood(docs: list[np.ndarray], model: Model, most: int = PIECE_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts, and the documents' log10 likelihood."""
     likelihood = 0.0
     k, n_classes = model.emit.shape
     starts, steps, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, n_classes))
-    emit, step_back = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.step.T)
-    for chosen in groups(docs):
-        flat, begins = laid_out([docs[i] for i in chosen])
-        cuts = begins.tolist()
-        alpha, seen = np.empty((len(flat), k)), emit[flat]
-        for t in range(len(cuts) - 1):
+    ratios, ones, step_back = Ratios(model), np.ones(k), np.ascontiguousarray(model.step.T)
+    pieces = Pieces(docs, model, ratios, most)
+    room = np.empty((3, 0))
+    for chosen in groups(pieces.docs):
+        flat, begins = laid_out([pieces.docs[i] for i in chosen])
+        if room.shape[1] < len(flat) * k:  # the same memory for all groups
+            room = np.empty((3, len(flat) * k))
+        alpha, seen, posterior = (x[: len(flat) * k].reshape(-1, k) for x in room)
+        first, before, after = pieces.first[chosen], pieces.before[chosen], pieces.after[chosen]
+        likelihood += float(ratios.log_mean[flat].sum())
+        cuts = [*begins.tolist(), begins[-1]]
+        np.take(ratios.of_class, flat, axis=0, out=seen, mode="clip")
+        for t in range(len(cuts) - 2):
+            a, b = cuts[t], cuts[t + 1]
+            now = alpha[a:b]
+            if t:
+                np.matmul(alpha[cuts[t - 1] : cuts[t - 1] + b - a], model.step, out=now)
+            else:
+                now[:] = np.where(first[:, None], model.start, before @ model.step)
+            now *= seen[a:b]
+            if t % ratios.every == ratios.every - 1:
+                scale = now @ ones
+                likelihood += float(np.log10(scale).sum())
+                now /= scale[:, None]
+                seen[a:b] /= scale[:, None]
+            if (on := cuts[t + 2] - b) < b - a:  # the others end here
+                likelihood += float(np.log10(now[on:] @ ones).sum())
+                after[on : b - a] /= (now[on:] * after[on : b - a]).sum(axis=1)[:, None]
+        # after is beta from here on: of a piece that ends earlier it is what follows it still
+        for t in range(len(cuts) - 3, -1, -1):
             a, b = cuts[t], cuts[t + 1]
-            now = seen[a:b] * (model.start if t == 0 else alpha[cuts[t - 1] : cuts[t - 1] + b - a] @ model.step)
-            scale = now.sum(axis=1)[:, None]
-            likelihood += float(np.log10(scale).sum())
-            alpha[a:b] = now / scale
-            seen[a:b] /= scale
-        beta = np.ones((cuts[-1] - cuts[-2], k))
-        for t in range(len(cuts) - 2, 0, -1):
-            a, b, before = cuts[t], cuts[t + 1], cuts[t - 1]
-            weighted = seen[a:b] * beta
-            steps += alpha[before : before + b - a].T @ weighted
-            alpha[a:b] *= beta  # from here on the posterior
-            beta = np.ones((a - before, k))
-            beta[: b - a] = weighted @ step_back
-        alpha[: cuts[1]] *= beta
-        starts += alpha[: cuts[1]].sum(axis=0)
+            weighted = seen[a:b]
+            weighted *= after[: b - a]
+            alpha[a:b] *= after[: b - a]  # from here on the posterior
+            if t:
+                p = cuts[t - 1]
+                steps += alpha[p : p + b - a].T @ weighted
+                np.matmul(weighted, step_back, out=after[: b - a])
+        at_start = cuts[1]
+        steps += before[~first].T @ seen[:at_start][~first]
+        starts += alpha[:at_start][first].sum(axis=0)
+        posterior = posterior.reshape(k, -1)
+        for a in range(0, len(flat), 2048):
+            posterior[:, a : a + 2048] = alpha[a : a + 2048].T
         for s in range(k):
-            emits[s] += np.bincount(flat, weights=alpha[:, s], minlength=n_classes)
+            emits[s] += np.bincount(flat, weights=posterior[s], minlength=n_classes)
     return starts, steps * model.step, emits, likelihood
 
 
@@ -306,9 +423,11 @@ def score_documents(docs: DataFrame, *, is_held: Callable = held_out, states: in
     while n_tokens and (small < SETTLED_ROUNDS if rounds is None else done < rounds):
         counts = map_arrow(training.select("classes"), partial(_expect, model=model), "kind int, a int, b int, n double")
         starts, steps, emits, now = np.zeros((1, states)), np.zeros((states, states)), np.zeros((states, n_classes)), np.zeros((1, 1))
-        # of fixed size: states * (1 + states + classes) + 1
-        for r in counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).toLocalIterator():
-            (starts, steps, emits, now)[r["kind"]][r["a"], r["b"]] = r["n"]
+        # of fixed size: states * (1 + states + classes) + 1; in one job, however many partitions the sums are dealt to
+        summed = counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).toArrow()
+        kind, a, b, n = (summed.column(c).to_numpy() for c in ("kind", "a", "b", "n"))
+        for i, of_kind in enumerate((starts, steps, emits, now)):
+            of_kind[a[kind == i], b[kind == i]] = n[kind == i]
         model = estimate(starts[0], steps, emits, prior)
         likelihood = float(now[0, 0])
         small = small + 1 if likelihood - last < LEAST_GAIN * n_tokens else 0
