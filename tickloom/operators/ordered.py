@@ -93,7 +93,8 @@ def quantiles(rows: DataFrame, keys: Sequence[str], value: str, wanted: dict[str
         if interpolated:
             low = F.floor(place)
             part = F.first(place - low)
-            found[name] = at_rank(low) * (1 - part) + at_rank(F.ceil(place)) * part
+            # between equal values it is that value to the last digit, so that those equal to a bound are at it
+            found[name] = at_rank(low) + (at_rank(F.ceil(place)) - at_rank(low)) * part
         else:
             found[name] = at_rank(F.floor(place + 0.5))
     return placed.groupBy(*keys).agg(F.first("n").alias("n"), *[c.alias(name) for name, c in found.items()])
