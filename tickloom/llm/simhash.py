@@ -26,13 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, unused, words_of
+from .common import BROADCAST_BYTES, cut, map_arrow, unused, words_of
 
 WORDS, DISTANCE, SEED = 3, 2, 42
 #: Fingerprints on which the tree of shards is grown, at most, and those that a shard should hold, about.
 SAMPLE, SHARD = 65_536, 8192
 #: Shards at most; beyond SHARD * MOST_SHARDS fingerprints they grow, and their own trees with them.
 MOST_SHARDS = 4096
+#: Longs of the filter of documents to be dropped; beyond some millions of those it lets more texts move, and no result changes.
+FILTER_WORDS = BROADCAST_BYTES // 48
 #: A branch of so many fingerprints is compared whole.
 BLOCK = 768
 
@@ -248,15 +250,30 @@ def near_duplicates(
     return found.join(named, "fp").select("doc_id", "fp", "component_id", "root", "text_hash")
 
 
+def _filter_of(rows: DataFrame, text_hash: str, word: str, bits: str) -> DataFrame:
+    """Adds a row's place in a Bloom filter of FILTER_WORDS longs, and its bits there; by doc_id and text_hash."""
+    hashed = F.xxhash64(F.col("doc_id").cast("long"), F.col(text_hash))
+    place = lambda n: F.shiftrightunsigned(hashed, 6 * n).bitwiseAND(F.lit(63)).cast("int")
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), place(n))
+    return rows.withColumns({word: F.pmod(F.shiftrightunsigned(hashed, 18), F.lit(FILTER_WORDS)), bits: bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))})
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without all but the document of the smallest id of each component; rows that repeat id and text go as well."""
     found = cut(near_duplicates(docs, **options))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_first")
-    first = found.groupBy("root").agg(first).select(F.col("_first.doc_id").alias("_kept"), F.col("_first.text_hash").alias("_hash"))
+    first = found.groupBy("root").agg(first).select("root", F.col("_first.doc_id").alias("_kept"), F.col("_first.text_hash").alias("_hash"))
     text_hash, nth = ((p := unused(docs.columns, "_sim")) + "_hash"), p + "_nth"
     hashed = docs.withColumn(text_hash, F.xxhash64("text"))
-    same = hashed["doc_id"].cast("long").eqNullSafe(first["_kept"]) & (hashed[text_hash] == first["_hash"])
-    there = hashed.join(first, same, "left_semi")
+    # texts stay where they are but for those that may have to go, which a filter of bounded size marks
+    others = found.join(first, "root").where(~(F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("text_hash") == F.col("_hash"))))
+    word, bits, marks = (f"{p}_{x}" for x in ("word", "bits", "marks"))
+    marked = _filter_of(others, "text_hash", word, bits).groupBy(word).agg(F.bit_or(bits).alias(marks))
+    looked_up = _filter_of(hashed, text_hash, word, bits).join(F.broadcast(marked), word, "left")
+    may_go = F.coalesce(F.col(marks).bitwiseAND(F.col(bits)) == F.col(bits), F.lit(False))
+    stay, doubtful = looked_up.where(~may_go), looked_up.where(may_go)
+    same = doubtful["doc_id"].cast("long").eqNullSafe(first["_kept"]) & (doubtful[text_hash] == first["_hash"])
+    there = stay.unionByName(doubtful.join(first, same, "left_semi"))
     if found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():  # only then texts move once more
         again = Window.partitionBy("doc_id", text_hash).orderBy(F.lit(0))
         there = there.withColumn(nth, F.row_number().over(again)).where(F.col(nth) == 1)
