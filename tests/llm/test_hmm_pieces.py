@@ -61,7 +61,7 @@ def test_places_grow_with_the_longest_piece_not_the_longest_document(monkeypatch
     monkeypatch.setattr(hmm, "laid_out", lambda docs, real=hmm.laid_out: places.append(max(map(len, docs))) or real(docs))
     docs = [np.zeros(5000, dtype=int), *(np.zeros(3, dtype=int) for _ in range(20))]
     hmm.expected_and_likelihood(docs, model_of(2, 3, 7))
-    assert max(places) <= 1024
+    assert max(places) <= hmm.PIECE_TOKENS
 
 
 def test_a_round_takes_few_jobs_whatever_the_partitions(spark):

@@ -52,15 +52,16 @@ def word_count(text: Column) -> Column:
     ).cast("long")
 
 
-def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+def map_arrow(df: DataFrame, function, schema, tidy: bool = True) -> DataFrame:
     """df.mapInArrow() with batches of bounded size, by rows and by bytes; the session keeps these settings, which are the
-    same for all callers."""
+    same for all callers. tidy=False leaves a worker its memory, for rounds that need it again."""
     for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
         df.sparkSession.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)
-        release()
+        if tidy:
+            release()
 
     return df.mapInArrow(run, schema)
 

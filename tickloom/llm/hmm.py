@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -35,9 +36,11 @@ OWN, ENDINGS, ENDING_BYTES = 4096, 2048, 3
 #: A word gets a class of its own only if it makes up this share of the tokens; there are 1 / LEAST_SHARE such words at most.
 LEAST_SHARE = 2e-5
 #: Tokens of a block, and of what is run through the recursions at once.
-BLOCK_TOKENS, GROUP_TOKENS = 2_500_000, 250_000
+BLOCK_TOKENS, GROUP_TOKENS = 2_500_000, 350_000
 #: Training cuts longer sequences into pieces of so many tokens, which are run side by side; it changes the time, no result.
-PIECE_TOKENS = 1024
+PIECE_TOKENS = 2048
+#: Tokens whose posteriors are added to their classes at once.
+COUNTED_TOKENS = 1 << 16
 #: Places that are run without scaling, at most, and powers of ten that products may go through meanwhile.
 MOST_UNSCALED, RANGE = 16, 200
 #: The likelihood has settled once a training token gains less (of log10) in each of so many rounds, one after another.
@@ -56,17 +59,25 @@ def ending(word: bytes) -> int:
 # Blocks: documents as word numbers, and the block's vocabulary
 
 
+#: number: a word's, and of a document how many ids it has.
 BLOCKS = "block bigint, doc_id bigint, held_out boolean, ids binary, word binary, number int, n_train bigint, ending int"
 
 
+def numbers() -> defaultdict:
+    """Words' numbers: a word not seen yet gets the next."""
+    found: defaultdict = defaultdict()
+    found.default_factory = found.__len__
+    return found
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], is_held: Callable, block_tokens: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
-    number: dict[bytes, int] = {}
+    number = numbers()
     train = np.zeros(1 << 12, dtype=np.int64)
     docs: list[tuple] = []
-    tokens = 0
+    tokens, packing = 0, pa.Codec("zstd")
     kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int32())
     names = [c.split()[0] for c in BLOCKS.split(", ")]
 
@@ -76,7 +87,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], is_held: Callable, block_tokens:
     def out() -> Iterator[pa.RecordBatch]:
         for i in range(0, len(docs), 2000):
             part = docs[i : i + 2000]
-            yield rows({"block": [block] * len(part)} | dict(zip(("doc_id", "held_out", "ids"), zip(*part))), len(part))
+            yield rows({"block": [block] * len(part)} | dict(zip(("doc_id", "held_out", "ids", "number"), zip(*part))), len(part))
         words = list(number)
         for i in range(0, len(words), 50_000):
             part = words[i : i + 50_000]
@@ -86,17 +97,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], is_held: Callable, block_tokens:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
             words = words_of((text.as_py() or b"").lower())
             words.append(END)
-            ids = np.fromiter([number.setdefault(w, len(number)) for w in words], dtype="<u4", count=len(words))
+            ids = np.fromiter(map(number.__getitem__, words), dtype="<u4", count=len(words))
             if len(number) > len(train):
                 train = np.concatenate([train, np.zeros(max(len(number), len(train)), dtype=np.int64)])
             held = is_held(doc_id)
             if not held:
                 np.add.at(train, ids, 1)
-            docs.append((doc_id, held, zlib.compress(ids.tobytes(), 1)))
+            docs.append((doc_id, held, packing.compress(ids.tobytes(), asbytes=True), len(ids)))
             tokens += len(words)
             if tokens >= block_tokens:
                 yield from out()
-                block, number, docs, tokens = block + 1, {}, [], 0
+                number.default_factory = None  # it refers to its dict, which would stay until a collection
+                block, number, docs, tokens = block + 1, numbers(), [], 0
                 train[:] = 0
     if docs:
         yield from out()
@@ -131,10 +143,10 @@ def laid_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     active = np.bincount(lengths, minlength=lengths.max() + 1)
     active = (len(docs) - np.cumsum(active))[:-1]  # documents longer than each place
     begins = np.concatenate([[0], np.cumsum(active)])
-    place = np.concatenate([np.arange(n) for n in lengths])
-    doc = np.repeat(np.arange(len(docs)), lengths)
+    at = np.concatenate([begins[:n] for n in lengths])
+    at += np.repeat(np.arange(len(docs)), lengths)
     flat = np.empty(begins[-1], dtype=np.int64)
-    flat[begins[place] + doc] = np.concatenate(docs)
+    flat[at] = np.concatenate(docs)
     return flat, begins
 
 
@@ -207,8 +219,8 @@ class Pieces:
             return
         later = np.nonzero(~self.first)[0]
         over = np.empty((n, k, k))
-        for i in range(0, len(later), 1024):
-            over[later[i : i + 1024]] = carried([self.docs[j] for j in later[i : i + 1024]], model, ratios)
+        for i in range(0, len(later), 256):
+            over[later[i : i + 256]] = carried([self.docs[j] for j in later[i : i + 256]], model, ratios)
         long = np.array([i for i in later.tolist() if self.first[i - 1]])
         self.before[long] = ended([self.docs[i - 1] for i in long], model, ratios)
         for i in later.tolist():
@@ -224,8 +236,10 @@ def carried(docs: list[np.ndarray], model: Model, ratios: Ratios) -> np.ndarray:
     """Products of steps and emissions over sequences of one length, each in a scale of its own."""
     n, k = len(docs), len(model.start)
     out = np.repeat(np.eye(k)[:, None], n, axis=1)  # state before, sequence, state now
+    other = np.empty_like(out)
     for t, classes in enumerate(np.stack(docs, axis=1)):
-        out = (out.reshape(k * n, k) @ model.step).reshape(k, n, k)
+        np.matmul(out.reshape(k * n, k), model.step, other.reshape(k * n, k))
+        out, other = other, out
         out *= ratios.of_class[classes]
         if t % ratios.every == ratios.every - 1:
             out /= out.sum(axis=(0, 2))[:, None]
@@ -257,50 +271,54 @@ def expected_and_likelihood(docs: list[np.ndarray], model: Model, most: int = PI
     starts, steps, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, n_classes))
     ratios, ones, step_back = Ratios(model), np.ones(k), np.ascontiguousarray(model.step.T)
     pieces = Pieces(docs, model, ratios, most)
-    room = np.empty((3, 0))
+    room, turned = np.empty(0), np.empty((k, COUNTED_TOKENS))  # the same memory for all groups
     for chosen in groups(pieces.docs):
         flat, begins = laid_out([pieces.docs[i] for i in chosen])
-        if room.shape[1] < len(flat) * k:  # the same memory for all groups
-            room = np.empty((3, len(flat) * k))
-        alpha, seen, posterior = (x[: len(flat) * k].reshape(-1, k) for x in room)
+        if len(room) < (n := (len(flat) + len(chosen)) * k):
+            room = np.empty(n)
+        alpha, seen = room[: len(flat) * k].reshape(-1, k), room[len(flat) * k : n].reshape(-1, k)
         first, before, after = pieces.first[chosen], pieces.before[chosen], pieces.after[chosen]
         likelihood += float(ratios.log_mean[flat].sum())
-        cuts = [*begins.tolist(), begins[-1]]
-        np.take(ratios.of_class, flat, axis=0, out=seen, mode="clip")
+        cuts, scales = [*begins.tolist(), begins[-1]], {}
         for t in range(len(cuts) - 2):
             a, b = cuts[t], cuts[t + 1]
-            now = alpha[a:b]
+            now, here = alpha[a:b], seen[: b - a]
+            ratios.of_class.take(flat[a:b], 0, here, "clip")
             if t:
-                np.matmul(alpha[cuts[t - 1] : cuts[t - 1] + b - a], model.step, out=now)
+                np.matmul(alpha[cuts[t - 1] : cuts[t - 1] + b - a], model.step, now)
             else:
                 now[:] = np.where(first[:, None], model.start, before @ model.step)
-            now *= seen[a:b]
+            now *= here
             if t % ratios.every == ratios.every - 1:
                 scale = now @ ones
                 likelihood += float(np.log10(scale).sum())
-                now /= scale[:, None]
-                seen[a:b] /= scale[:, None]
+                scales[t] = scale[:, None]
+                now /= scales[t]
             if (on := cuts[t + 2] - b) < b - a:  # the others end here
                 likelihood += float(np.log10(now[on:] @ ones).sum())
                 after[on : b - a] /= (now[on:] * after[on : b - a]).sum(axis=1)[:, None]
         # after is beta from here on: of a piece that ends earlier it is what follows it still
         for t in range(len(cuts) - 3, -1, -1):
             a, b = cuts[t], cuts[t + 1]
-            weighted = seen[a:b]
-            weighted *= after[: b - a]
-            alpha[a:b] *= after[: b - a]  # from here on the posterior
+            beta, weighted = after[: b - a], seen[: b - a]
+            alpha[a:b] *= beta  # from here on the posterior
+            ratios.of_class.take(flat[a:b], 0, weighted, "clip")
+            weighted *= beta
+            if t in scales:
+                weighted /= scales[t]
             if t:
                 p = cuts[t - 1]
                 steps += alpha[p : p + b - a].T @ weighted
-                np.matmul(weighted, step_back, out=after[: b - a])
+                np.matmul(weighted, step_back, beta)
         at_start = cuts[1]
         steps += before[~first].T @ seen[:at_start][~first]
         starts += alpha[:at_start][first].sum(axis=0)
-        posterior = posterior.reshape(k, -1)
-        for a in range(0, len(flat), 2048):
-            posterior[:, a : a + 2048] = alpha[a : a + 2048].T
-        for s in range(k):
-            emits[s] += np.bincount(flat, weights=posterior[s], minlength=n_classes)
+        for a in range(0, len(flat), COUNTED_TOKENS):
+            some = flat[a : a + COUNTED_TOKENS]
+            for i in range(0, len(some), 2048):
+                turned[:, i : i + 2048][:, : len(some) - i] = alpha[a + i : a + min(i + 2048, len(some))].T
+            for s in range(k):
+                emits[s] += np.bincount(some, weights=turned[s, : len(some)], minlength=n_classes)
     return starts, steps * model.step, emits, likelihood
 
 
@@ -343,8 +361,9 @@ def _encode(n_tokens: int, n_distinct: int, totals: dict):
         base = np.log10((count + 1) / (n_tokens + n_distinct + 1))
         within = np.where(of_class < own, 0.0, np.log10((count + 1) / (class_tokens[of_class] + class_words[of_class] + 1)))
         packed_class, out = of_class.astype("<u2"), []
-        for doc_id, held, ids in zip(docs.column("doc_id").to_pylist(), docs.column("held_out").to_pylist(), docs.column("ids").to_pylist()):
-            x = np.frombuffer(zlib.decompress(ids), dtype="<u4")
+        packing = pa.Codec("zstd")
+        for doc_id, held, ids, n in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "held_out", "ids", "number"))):
+            x = np.frombuffer(packing.decompress(ids, 4 * n), dtype="<u4")
             out.append((doc_id, held, len(x), int((count[x] > 0).sum()), float(base[x].sum()), float(within[x].sum()), packed_class[x].tobytes()))
         columns = list(zip(*out)) or [()] * len(kinds)
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in ENCODED.split(", ")])
@@ -395,8 +414,9 @@ def score_documents(docs: DataFrame, *, is_held: Callable = held_out, states: in
     blocks = stored(map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), partial(_blocks, is_held=is_held, block_tokens=block_tokens), BLOCKS), "blocks")
     by_word = Window.partitionBy("word")
     words = blocks.where("word is not null").select("word", "block", "number", "n_train", "ending")
-    words = words.withColumn("c", F.sum("n_train").over(by_word))
-    words = stored(words.withColumn("first", F.row_number().over(by_word.orderBy("block")) == 1), "words")
+    # a block has a word once, so that one sort by words is enough
+    words = words.withColumns({"c": F.sum("n_train").over(by_word), "first": F.col("block") == F.min("block").over(by_word)})
+    words = stored(words, "words")
     distinct = words.where(F.col("first") & (F.col("c") > 0))
     n_tokens, n_distinct = distinct.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # 1 / LEAST_SHARE words at most can be so common
@@ -415,13 +435,13 @@ def score_documents(docs: DataFrame, *, is_held: Callable = held_out, states: in
     names = spark.createDataFrame([(bytes(r["word"]), i) for i, r in enumerate(top)], "word binary, own int")
     classed = words.join(F.broadcast(names), "word", "left").select("block", "number", "c", F.coalesce("own", F.col("ending") + own).alias("class"))
     encode = _encode(n_tokens, n_distinct, {"tokens": tokens, "words": in_class, "own": own})
-    there = blocks.where("ids is not null").select("block", "doc_id", "held_out", "ids")
+    there = blocks.where("ids is not null").select("block", "doc_id", "held_out", "ids", "number")
     encoded = stored(there.groupBy("block").cogroup(classed.groupBy("block")).applyInArrow(encode, ENCODED), "encoded")
     training = encoded.where(~F.col("held_out")).select("doc_id", "classes")
     model = first_model([], prior, states, 0)
     done, small, last = 0, 0, -math.inf
     while n_tokens and (small < SETTLED_ROUNDS if rounds is None else done < rounds):
-        counts = map_arrow(training.select("classes"), partial(_expect, model=model), "kind int, a int, b int, n double")
+        counts = map_arrow(training.select("classes"), partial(_expect, model=model), "kind int, a int, b int, n double", tidy=False)
         starts, steps, emits, now = np.zeros((1, states)), np.zeros((states, states)), np.zeros((states, n_classes)), np.zeros((1, 1))
         # of fixed size: states * (1 + states + classes) + 1; in one job, however many partitions the sums are dealt to
         summed = counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).toArrow()
