@@ -30,7 +30,7 @@ MAX_TOKENS = 4096
 END_ID = 1
 #: Pieces of a shard, about.
 SHARD_PIECES = 16384
-#: Chunks whose ids a Python worker keeps; beyond that the older half goes.
+#: Chunks whose ids a Python worker keeps during a task; beyond that the older half goes.
 CACHE_CHUNKS = 600_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, row_hash bigint"
 PLACED = PIECES + ", sequence_id bigint, offset bigint"
@@ -62,6 +62,10 @@ class ChunkEncoder:
         self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
+    def forget(self) -> None:
+        """Empties the cache."""
+        self.new, self.old = {}, {}
+
     def _ids(self, chunks: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
@@ -135,21 +139,24 @@ def encoder(path: str) -> ChunkEncoder:
 
 def _cut_pieces(batches: Iterator[pa.RecordBatch], path: str, max_tokens: int, end_id: int) -> Iterator[pa.RecordBatch]:
     encode, end = encoder(path), np.uint32(end_id).astype("<u4").tobytes()
-    for batch in batches:
-        rows: list[list] = [[] for _ in range(5)]
-        ids, bounds = encode.column(batch.column(1))
-        bounds = bounds.tolist()
-        for doc_id, a, b in zip(batch.column(0).to_pylist(), bounds, bounds[1:]):
-            n = b - a + 1  # with the end id
-            for piece, at in enumerate(range(0, n, max_tokens)):
-                length = min(max_tokens, n - at)
-                crc = zlib.crc32(ids[a + at : min(a + at + length, b)].data)
-                if at + length == n:
-                    crc = zlib.crc32(end, crc)
-                for column, v in zip(rows, (doc_id, piece, at, length, crc)):
-                    column.append(v)
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+    try:
+        for batch in batches:
+            rows: list[list] = [[] for _ in range(5)]
+            ids, bounds = encode.column(batch.column(1))
+            bounds = bounds.tolist()
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), bounds, bounds[1:]):
+                n = b - a + 1  # with the end id
+                for piece, at in enumerate(range(0, n, max_tokens)):
+                    length = min(max_tokens, n - at)
+                    crc = zlib.crc32(ids[a + at : min(a + at + length, b)].data)
+                    if at + length == n:
+                        crc = zlib.crc32(end, crc)
+                    for column, v in zip(rows, (doc_id, piece, at, length, crc)):
+                        column.append(v)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+    finally:
+        encode.forget()  # workers outlive their tasks, and other stages need the memory
 
 
 def best_fit(lengths: np.ndarray, capacity: tuple[float, float, float], weights=(1.0, 0.05, 0.05), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
