@@ -19,16 +19,16 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, delete, map_arrow, release, shared_dir, words_of
+from .common import cut, delete, map_arrow, release, shared_dir
 
 STATES = 8
 #: Words with a class of their own, at most, and classes of other words by their last bytes.
@@ -43,6 +43,12 @@ PIECE_TOKENS = 2048
 COUNTED_TOKENS = 1 << 16
 #: Places that are run without scaling, at most, and powers of ten that products may go through meanwhile.
 MOST_UNSCALED, RANGE = 16, 200
+#: Pieces that are multiplied at once, and the relative difference at which rows of a product are taken for proportional.
+CARRIED_PIECES, SAME = 512, 1e-13
+#: Places that are laid out at once.
+LAID_OUT_PLACES = 1024
+#: Tasks that sum up the partitions' counts of a round; the driver gets a row of each.
+SUMMING_TASKS = 8
 #: The likelihood has settled once a training token gains less (of log10) in each of so many rounds, one after another.
 LEAST_GAIN, SETTLED_ROUNDS = 1e-4, 2
 END = b""
@@ -63,19 +69,25 @@ def ending(word: bytes) -> int:
 BLOCKS = "block bigint, doc_id bigint, held_out boolean, ids binary, word binary, number int, n_train bigint, ending int"
 
 
-def numbers() -> defaultdict:
-    """Words' numbers: a word not seen yet gets the next."""
-    found: defaultdict = defaultdict()
-    found.default_factory = found.__len__
-    return found
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-case words of texts, one after another, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words, ends = lists.flatten(), lists.offsets.to_numpy()
+    there = pc.not_equal(pc.binary_length(words), 0)  # white space at a text's ends is given empty words
+    before = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])
+    return words.filter(there), np.diff(before[ends - ends[0]])
+
+
+def endings(words: pa.Array) -> pa.Array:
+    found = pc.binary_slice(words, -ENDING_BYTES).dictionary_encode()
+    return pa.array([ending(w) for w in found.dictionary.to_pylist()], pa.int32()).take(found.indices)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], is_held: Callable, block_tokens: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
-    number = numbers()
-    train = np.zeros(1 << 12, dtype=np.int64)
+    parts: list[pa.Array] = []
     docs: list[tuple] = []
     tokens, packing = 0, pa.Codec("zstd")
     kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int32())
@@ -85,31 +97,37 @@ def _blocks(batches: Iterator[pa.RecordBatch], is_held: Callable, block_tokens:
         return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds)], names=names)
 
     def out() -> Iterator[pa.RecordBatch]:
+        coded = pa.chunked_array(parts, pa.string()).dictionary_encode().combine_chunks()
+        if isinstance(coded, pa.ChunkedArray):  # of no chunk
+            coded = pa.array([], pa.string()).dictionary_encode()
+        words = pa.concat_arrays([pa.array([END]), coded.dictionary.cast(pa.binary())])  # the end is number 0
+        x, train, at = coded.indices.to_numpy().astype("<u4") + np.uint32(1), np.zeros(len(words), dtype=np.int64), 0
         for i in range(0, len(docs), 2000):
-            part = docs[i : i + 2000]
-            yield rows({"block": [block] * len(part)} | dict(zip(("doc_id", "held_out", "ids", "number"), zip(*part))), len(part))
-        words = list(number)
+            part, packed, begin = docs[i : i + 2000], [], at
+            for _, _, n in part:
+                packed.append(packing.compress(x[at : at + n].tobytes() + bytes(4), asbytes=True))
+                at += n
+            ids, held, n = zip(*part)
+            yield rows({"block": [block] * len(part), "doc_id": ids, "held_out": held, "ids": packed, "number": np.array(n) + 1}, len(part))
+            learnt = ~np.array(held)
+            train += np.bincount(x[begin:at][np.repeat(learnt, n)], minlength=len(words))
+            train[0] += learnt.sum()
+        ends = endings(words)
         for i in range(0, len(words), 50_000):
             part = words[i : i + 50_000]
-            yield rows({"block": np.full(len(part), block), "word": part, "number": np.arange(i, i + len(part)), "n_train": train[i : i + len(part)], "ending": [ending(w) for w in part]}, len(part))
+            yield rows({"block": np.full(len(part), block), "word": part, "number": np.arange(i, i + len(part)), "n_train": train[i : i + len(part)], "ending": ends[i : i + len(part)]}, len(part))
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-            words = words_of((text.as_py() or b"").lower())
-            words.append(END)
-            ids = np.fromiter(map(number.__getitem__, words), dtype="<u4", count=len(words))
-            if len(number) > len(train):
-                train = np.concatenate([train, np.zeros(max(len(number), len(train)), dtype=np.int64)])
-            held = is_held(doc_id)
-            if not held:
-                np.add.at(train, ids, 1)
-            docs.append((doc_id, held, packing.compress(ids.tobytes(), asbytes=True), len(ids)))
-            tokens += len(words)
+        words, counts = split(batch.column(1))
+        at = 0
+        for doc_id, n in zip(batch.column(0).to_pylist(), counts.tolist()):
+            docs.append((doc_id, is_held(doc_id), n))
+            at, tokens = at + n, tokens + n + 1
             if tokens >= block_tokens:
+                parts.append(words[:at])
                 yield from out()
-                number.default_factory = None  # it refers to its dict, which would stay until a collection
-                block, number, docs, tokens = block + 1, numbers(), [], 0
-                train[:] = 0
+                block, parts, docs, tokens, words, at = block + 1, [], [], 0, words[at:], 0
+        parts.append(words[:at])
     if docs:
         yield from out()
 
@@ -143,10 +161,15 @@ def laid_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     active = np.bincount(lengths, minlength=lengths.max() + 1)
     active = (len(docs) - np.cumsum(active))[:-1]  # documents longer than each place
     begins = np.concatenate([[0], np.cumsum(active)])
-    at = np.concatenate([begins[:n] for n in lengths])
-    at += np.repeat(np.arange(len(docs)), lengths)
     flat = np.empty(begins[-1], dtype=np.int64)
-    flat[at] = np.concatenate(docs)
+    for t in range(0, len(active), LAID_OUT_PLACES):
+        some = docs[: active[t]]
+        rows = np.empty((len(some), min(LAID_OUT_PLACES, len(active) - t)), dtype=docs[0].dtype)
+        for row, d in zip(rows, some):
+            part = d[t : t + LAID_OUT_PLACES]
+            row[: len(part)] = part
+        for i, row in enumerate(np.ascontiguousarray(rows.T), t):
+            flat[begins[i] : begins[i + 1]] = row[: active[i]]
     return flat, begins
 
 
@@ -198,8 +221,8 @@ def expected(docs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarr
 class Pieces:
     """Sequences cut so that none is longer than `most`, with what the recursions bring to each piece's ends.
 
-    Only a sequence's first piece may be shorter. The others' products of steps and emissions, a matrix each, carry the
-    states' probabilities over them from both sides, exactly; so long sequences run beside each other piece by piece.
+    Only a sequence's first piece may be shorter. The others' products of steps and emissions carry the states'
+    probabilities over them from both sides, exactly; so long sequences run beside each other piece by piece.
     """
 
     def __init__(self, docs: list[np.ndarray], model: Model, ratios: Ratios, most: int):
@@ -215,53 +238,61 @@ class Pieces:
         self.first[begins] = True
         #: The states' probabilities before a piece, of no meaning for first ones; and what follows it, in any scale.
         self.before, self.after = np.full((n, k), 1 / k), np.ones((n, k))
-        if self.first.all():
-            return
         later = np.nonzero(~self.first)[0]
-        over = np.empty((n, k, k))
-        for i in range(0, len(later), 256):
-            over[later[i : i + 256]] = carried([self.docs[j] for j in later[i : i + 256]], model, ratios)
-        long = np.array([i for i in later.tolist() if self.first[i - 1]])
-        self.before[long] = ended([self.docs[i - 1] for i in long], model, ratios)
-        for i in later.tolist():
-            if not self.first[i - 1]:
-                now = self.before[i - 1] @ over[i - 1]
-                self.before[i] = now / now.sum()
-        for i in later[::-1].tolist():
-            back = over[i] @ self.after[i]
-            self.after[i - 1] = back / back.sum()
-
-
-def carried(docs: list[np.ndarray], model: Model, ratios: Ratios) -> np.ndarray:
-    """Products of steps and emissions over sequences of one length, each in a scale of its own."""
+        for i in range(0, len(later), CARRIED_PIECES):
+            some = later[i : i + CARRIED_PIECES]
+            # a first piece's first place has no step before it
+            ahead = carried([self.docs[j - 1][int(self.first[j - 1]) :] for j in some], model, ratios, from_end=True)
+            for j, over in zip(some.tolist(), ahead):
+                now = (model.start * ratios.of_class[self.docs[j - 1][0]] if self.first[j - 1] else self.before[j - 1]) @ over
+                self.before[j] = now / now.sum()
+        for i in range(len(later), 0, -CARRIED_PIECES):
+            some = later[max(0, i - CARRIED_PIECES) : i]
+            behind = carried([self.docs[j] for j in some], model, ratios, from_end=False)
+            for j, over in zip(some[::-1].tolist(), behind[::-1]):
+                back = over @ self.after[j]
+                self.after[j - 1] = back / back.sum()
+
+
+def carried(docs: list[np.ndarray], model: Model, ratios: Ratios, from_end: bool) -> np.ndarray:
+    """Products of steps and emissions over sequences, a matrix each in a scale of its own: state before, state after.
+
+    Products of many places come to have rank one: the states at one end no longer depend on those at the other. Places are
+    multiplied from one end on until this holds to within rounding, or up to the other end; the end begun from is exact then,
+    and the other one's states are given as equal.
+    """
     n, k = len(docs), len(model.start)
-    out = np.repeat(np.eye(k)[:, None], n, axis=1)  # state before, sequence, state now
-    other = np.empty_like(out)
-    for t, classes in enumerate(np.stack(docs, axis=1)):
-        np.matmul(out.reshape(k * n, k), model.step, other.reshape(k * n, k))
-        out, other = other, out
-        out *= ratios.of_class[classes]
+    lengths = np.array([len(d) for d in docs])
+    on = np.argsort(-lengths, kind="stable")
+    lengths = lengths[on]
+    classes = np.zeros((n, lengths[0]), dtype=np.int64)
+    for row, i in zip(classes, on.tolist()):
+        row[: len(docs[i])] = docs[i][::-1] if from_end else docs[i]
+    classes, columns = np.ascontiguousarray(classes.T), np.arange(n)
+    step = np.ascontiguousarray(model.step.T) if from_end else model.step
+    out, now = np.empty((n, k, k)), np.repeat(np.eye(k)[None], n, axis=0)  # state where it begins, state where it is
+    for t in range(classes.shape[0] + 1):
+        if (m := int(np.searchsorted(-lengths, -t))) < len(on):  # the others end here
+            out[on[m:]] = now[m:]
+            on, now, lengths, columns = on[:m], now[:m], lengths[:m], columns[:m]
+        if not m:
+            break
+        here = ratios.of_class.take(classes[t].take(columns), 0)[:, None]
+        if from_end:
+            now *= here
+            now = (now.reshape(m * k, k) @ step).reshape(m, k, k)
+        else:
+            now = (now.reshape(m * k, k) @ step).reshape(m, k, k)
+            now *= here
         if t % ratios.every == ratios.every - 1:
-            out /= out.sum(axis=(0, 2))[:, None]
-    return out.transpose(1, 0, 2)
-
-
-def ended(docs: list[np.ndarray], model: Model, ratios: Ratios) -> np.ndarray:
-    """The states' probabilities at the end of sequences from their start; they are run so that all end together."""
-    order = np.argsort([-len(d) for d in docs], kind="stable")
-    flat, begins = laid_out([docs[i][::-1] for i in order])
-    state, on = np.empty((len(docs), len(model.start))), 0
-    for t in range(len(begins) - 2, -1, -1):
-        a, b = begins[t], begins[t + 1]
-        state[:on] = state[:on] @ model.step
-        state[on : b - a] = model.start
-        on = b - a
-        state[:on] *= ratios.of_class[flat[a:b]]
-        if t % ratios.every == 0:
-            state[:on] /= state[:on].sum(axis=1, keepdims=True)
-    out = np.empty_like(state)
-    out[order] = state
-    return out
+            sums = now.sum(axis=2, keepdims=True)
+            shape = now / sums
+            same = (np.abs(shape - shape[:, :1]) <= SAME * shape[:, :1]).all(axis=(1, 2))
+            now /= sums.sum(axis=1, keepdims=True)
+            if same.any():
+                out[on[same]] = sums[same]
+                on, now, lengths, columns = on[~same], now[~same], lengths[~same], columns[~same]
+    return out.transpose(0, 2, 1) if from_end else out
 
 
 def expected_and_likelihood(docs: list[np.ndarray], model: Model, most: int = PIECE_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -278,14 +309,13 @@ def expected_and_likelihood(docs: list[np.ndarray], model: Model, most: int = PI
             room = np.empty(n)
         alpha, seen = room[: len(flat) * k].reshape(-1, k), room[len(flat) * k : n].reshape(-1, k)
         first, before, after = pieces.first[chosen], pieces.before[chosen], pieces.after[chosen]
-        likelihood += float(ratios.log_mean[flat].sum())
         cuts, scales = [*begins.tolist(), begins[-1]], {}
         for t in range(len(cuts) - 2):
             a, b = cuts[t], cuts[t + 1]
             now, here = alpha[a:b], seen[: b - a]
             ratios.of_class.take(flat[a:b], 0, here, "clip")
             if t:
-                np.matmul(alpha[cuts[t - 1] : cuts[t - 1] + b - a], model.step, now)
+                np.dot(alpha[cuts[t - 1] : cuts[t - 1] + b - a], model.step, now)
             else:
                 now[:] = np.where(first[:, None], model.start, before @ model.step)
             now *= here
@@ -294,9 +324,9 @@ def expected_and_likelihood(docs: list[np.ndarray], model: Model, most: int = PI
                 likelihood += float(np.log10(scale).sum())
                 scales[t] = scale[:, None]
                 now /= scales[t]
-            if (on := cuts[t + 2] - b) < b - a:  # the others end here
-                likelihood += float(np.log10(now[on:] @ ones).sum())
-                after[on : b - a] /= (now[on:] * after[on : b - a]).sum(axis=1)[:, None]
+        last = alpha[begins[[len(pieces.docs[i]) - 1 for i in chosen]] + np.arange(len(chosen))]
+        likelihood += float(np.log10(last @ ones).sum())
+        after /= (last * after).sum(axis=1)[:, None]
         # after is beta from here on: of a piece that ends earlier it is what follows it still
         for t in range(len(cuts) - 3, -1, -1):
             a, b = cuts[t], cuts[t + 1]
@@ -309,7 +339,7 @@ def expected_and_likelihood(docs: list[np.ndarray], model: Model, most: int = PI
             if t:
                 p = cuts[t - 1]
                 steps += alpha[p : p + b - a].T @ weighted
-                np.matmul(weighted, step_back, beta)
+                np.dot(weighted, step_back, beta)
         at_start = cuts[1]
         steps += before[~first].T @ seen[:at_start][~first]
         starts += alpha[:at_start][first].sum(axis=0)
@@ -319,6 +349,8 @@ def expected_and_likelihood(docs: list[np.ndarray], model: Model, most: int = PI
                 turned[:, i : i + 2048][:, : len(some) - i] = alpha[a + i : a + min(i + 2048, len(some))].T
             for s in range(k):
                 emits[s] += np.bincount(some, weights=turned[s, : len(some)], minlength=n_classes)
+    # posteriors add up to a class's tokens
+    likelihood += float(emits.sum(axis=0) @ ratios.log_mean)
     return starts, steps * model.step, emits, likelihood
 
 
@@ -379,15 +411,23 @@ def _sequences(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
 
 
 def _expect(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """A partition's expected counts: kind 0 starts, 1 steps, 2 emissions; 3 the likelihood."""
-    total: list[np.ndarray] | None = None
+    """A partition's expected counts of starts, steps and emissions, and its likelihood: one after another, of fixed size."""
+    total: np.ndarray | None = None
+    for batch in batches:
+        found = np.concatenate([np.ravel(x) for x in expected_and_likelihood(_sequences(batch, 0), model)])
+        total = found if total is None else total + found
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()])], names=["sums"])
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: np.ndarray | None = None
     for batch in batches:
-        found = expected_and_likelihood(_sequences(batch, 0), model)
-        total = list(found) if total is None else [a + b for a, b in zip(total, found)]
-    for kind, counts in enumerate(total or []):
-        counts = np.atleast_2d(counts)
-        a, b = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(counts[a, b])], names=["kind", "a", "b", "n"])
+        for sums in batch.column(0):
+            found = np.frombuffer(sums.as_buffer(), dtype="<f8")
+            total = found.copy() if total is None else total + found
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, n_tokens: int) -> Iterator[pa.RecordBatch]:
@@ -437,19 +477,20 @@ def score_documents(docs: DataFrame, *, is_held: Callable = held_out, states: in
     encode = _encode(n_tokens, n_distinct, {"tokens": tokens, "words": in_class, "own": own})
     there = blocks.where("ids is not null").select("block", "doc_id", "held_out", "ids", "number")
     encoded = stored(there.groupBy("block").cogroup(classed.groupBy("block")).applyInArrow(encode, ENCODED), "encoded")
+    for name in ("blocks", "words"):
+        delete(spark, f"{folder}/{name}")
     training = encoded.where(~F.col("held_out")).select("doc_id", "classes")
     model = first_model([], prior, states, 0)
     done, small, last = 0, 0, -math.inf
     while n_tokens and (small < SETTLED_ROUNDS if rounds is None else done < rounds):
-        counts = map_arrow(training.select("classes"), partial(_expect, model=model), "kind int, a int, b int, n double", tidy=False)
-        starts, steps, emits, now = np.zeros((1, states)), np.zeros((states, states)), np.zeros((states, n_classes)), np.zeros((1, 1))
-        # of fixed size: states * (1 + states + classes) + 1; in one job, however many partitions the sums are dealt to
-        summed = counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).toArrow()
-        kind, a, b, n = (summed.column(c).to_numpy() for c in ("kind", "a", "b", "n"))
-        for i, of_kind in enumerate((starts, steps, emits, now)):
-            of_kind[a[kind == i], b[kind == i]] = n[kind == i]
-        model = estimate(starts[0], steps, emits, prior)
-        likelihood = float(now[0, 0])
+        # files of a round, as files of a shuffle would stay for all rounds; in two jobs, and a few rows for the driver
+        sums = stored(map_arrow(training.select("classes"), partial(_expect, model=model), "sums binary", tidy=False), f"round-{done}")
+        parts = map_arrow(sums.coalesce(SUMMING_TASKS), _sum, "sums binary", tidy=False).toArrow().column("sums")
+        summed = np.sum([np.frombuffer(x.as_buffer(), dtype="<f8") for x in parts], axis=0)
+        delete(spark, f"{folder}/round-{done}")
+        starts, steps, emits, now = np.split(summed, np.cumsum([states, states * states, states * n_classes]))
+        model = estimate(starts, steps.reshape(states, states), emits.reshape(states, n_classes), prior)
+        likelihood = float(now[0])
         small = small + 1 if likelihood - last < LEAST_GAIN * n_tokens else 0
         done, last = done + 1, likelihood
     scored = cut(map_arrow(encoded, partial(_score, model=model, n_tokens=n_tokens), SCORES))
