@@ -36,6 +36,9 @@ HOT = 32
 FREQUENT, SIZE_CLASS = 400_000, 1.05
 #: Of the minhashes' four bits so many may differ in a pair that goes on.
 MOST_DIFFER = 56
+#: Frames whose rows are bounded by a count go into files of so many bytes, about. On a file system of the operating system
+#: a file costs an executor two processes (chmod, of the file and of its checksums), and one that starts counts as large as the JVM.
+FILE_BYTES = 2 << 20
 
 _RNG = np.random.default_rng(5)
 _XOR = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -88,6 +91,10 @@ def _little(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, row_bytes) else df
 
 
+def _files(rows: int, row_bytes: int) -> int:
+    return 1 + rows * row_bytes // FILE_BYTES
+
+
 def _may_be(a: str, b: str) -> Column:
     """Whether the four bits of so many minhashes agree that the pair may be similar."""
     differ = F.lit(0)
@@ -100,14 +107,14 @@ def _may_be(a: str, b: str) -> Column:
 
 
 def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs(a, fa, b, fb) of text hashes and fingerprints, those at 0.8 and more."""
-    pairs = cut(pairs)
+    """Of pairs(a, fa, b, fb) of text hashes and fingerprints, cut before, those at 0.8 and more."""
     seconds = sets.join(_little(pairs.select(F.col("b").alias("text_hash")).distinct(), 32), "text_hash", "left_semi").toDF("b", "hb")
     if (seconds.agg(F.sum(64 + 8 * F.size("hb"))).first()[0] or 0) <= BROADCAST_BYTES:  # centres, mostly
         seconds = F.broadcast(seconds)
     both = pairs.join(sets.toDF("a", "ha"), "a").join(seconds, "b")
     shared = F.size(F.array_intersect("ha", "hb"))
-    return cut(both.where(9 * shared >= 4 * (F.size("ha") + F.size("hb"))).select("a", "fa", "b", "fb"))
+    found = both.where(9 * shared >= 4 * (F.size("ha") + F.size("hb"))).select("a", "fa", "b", "fb")
+    return cut(found.repartition(_files(pairs.count(), 40)))  # shuffled, so that as many tasks as before compare
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -182,23 +189,23 @@ def _searched(sets: DataFrame, texts: DataFrame) -> DataFrame:
     return _ordered(probes.join(held, ["token", "class"]).where(once & (room >= need)))
 
 
-def _apart(many: DataFrame, central: DataFrame, centres: DataFrame, links: DataFrame) -> DataFrame:
+def _apart(many: DataFrame, central: DataFrame, centres: DataFrame, links: DataFrame, files: int) -> DataFrame:
     """text_hash of those that links to centres leave apart from most of a key.
 
     A text's home is the weightiest centre that it has a link to, or that this one has in turn. Texts of one home are joined;
-    so of any two of a key that aren't, one is none of the key's largest home.
+    so of any two of a key that aren't, one is none of the key's largest home. files: of each frame, as none has more rows than many.
     """
-    heads = cut(centres.select(F.col("y").alias("x")).distinct().join(central, "x"))
+    heads = cut(centres.select(F.col("y").alias("x")).distinct().join(central, "x").coalesce(files))
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
     towards = both.join(_little(heads.withColumnRenamed("x", "y"), 32), "y").select("x", "weight", "y")
     towards = towards.unionByName(heads.select("x", "weight", F.col("x").alias("y")))
-    home = cut(towards.groupBy("x").agg(F.max(F.struct("weight", "y"))["y"].alias("home")))
+    home = cut(towards.groupBy("x").agg(F.max(F.struct("weight", "y"))["y"].alias("home")).coalesce(files))
     of_heads = home.select(F.col("x").alias("home"), F.col("home").alias("further")).join(_little(heads.select(F.col("x").alias("home")), 32), "home", "left_semi")
     home = home.join(_little(of_heads, 32), "home").select("x", F.col("further").alias("home"))
-    placed = cut(many.select("key", "x").join(home, "x", "left").withColumn("home", F.coalesce("home", "x")))
+    placed = cut(many.select("key", "x").join(home, "x", "left").withColumn("home", F.coalesce("home", "x")).coalesce(files))
     sizes = placed.groupBy("key", "home").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "home"))["home"].alias("largest"))
-    return cut(placed.join(_little(largest, 32), "key").where("home <> largest").select(F.col("x").alias("text_hash")).distinct().withColumn("searched", F.lit(True)))
+    return cut(placed.join(_little(largest, 32), "key").where("home <> largest").select(F.col("x").alias("text_hash")).distinct().withColumn("searched", F.lit(True)).coalesce(files))
 
 
 def similar(docs: DataFrame, *, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -213,19 +220,21 @@ def similar(docs: DataFrame, *, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     few, many = members.where(F.col("n") <= hot), members.where(F.col("n") > hot)
     other = few.select("key", F.col("x").alias("y"), F.col("fx").alias("fy"), F.col("bx").alias("by"))
     near = few.join(other, "key").where("x < y").where(_may_be("bx", "by"))
-    central = cut(many.groupBy("x").agg(F.sum("n").alias("weight")))
+    files = _files(many.count(), 96)
+    central = cut(many.groupBy("x").agg(F.sum("n").alias("weight")).coalesce(files))
     centres = many.join(central, "x").groupBy("key").agg(F.max(F.struct("weight", "x", "fx", "bx")).alias("c"))
-    centres = cut(centres.select("key", F.col("c.x").alias("y"), F.col("c.fx").alias("fy"), F.col("c.bx").alias("by")))
-    stars = cut(many.join(_little(centres, 192), "key").where("x <> y").select("x", "fx", "y", "fy", _may_be("bx", "by").alias("may")).distinct())
+    centres = cut(centres.select("key", F.col("c.x").alias("y"), F.col("c.fx").alias("fy"), F.col("c.bx").alias("by")).coalesce(files))
+    stars = cut(many.join(_little(centres, 192), "key").where("x <> y").select("x", "fx", "y", "fy", _may_be("bx", "by").alias("may")).distinct().coalesce(files))
     pairs = cut(_ordered(near.select("x", "fx", "y", "fy").unionByName(stars.where("may").drop("may"))))
     # the shingles of every text that is compared, computed once
     named = pairs.select(F.col("a").alias("text_hash")).unionByName(pairs.select(F.col("b").alias("text_hash"))).unionByName(many.select(F.col("x").alias("text_hash")))
     there = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(_little(cut(named.distinct()), 32), "text_hash", "left_semi")
     sets = cut(map_arrow(there.groupBy("text_hash").agg(F.first("text").alias("text")), _sets, "text_hash bigint, hashes array<bigint>"))
     links = _verified(sets, pairs)
-    apart = _apart(many, central, centres, links.select("a", "b").unionByName(stars.where("fx = fy").select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    equal = stars.where("fx = fy").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    apart = _apart(many, central, centres, links.select("a", "b").unionByName(equal), files)
     if apart.limit(1).count():
         hot_texts = many.select(F.col("x").alias("text_hash"), F.col("fx").alias("fp")).distinct()
         marked = hot_texts.join(_little(apart, 32), "text_hash", "left").withColumn("searched", F.coalesce("searched", F.lit(False)))
-        links = links.unionByName(_verified(sets, _searched(sets, marked)))
+        links = links.unionByName(_verified(sets, cut(_searched(sets, marked))))
     return signed.select("doc_id", "fp", "text_hash"), links.select(F.col("fa").alias("a"), F.col("fb").alias("b"))
