@@ -175,7 +175,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], tokens: np.ndarray, counts: np.
 
 def _searched(sets: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of texts(text_hash, fp, searched) that may be similar, one of them searched for."""
-    there = cut(texts.join(sets, "text_hash").select("text_hash", "fp", "hashes", "searched"))
+    # read from sets twice, not kept once more: shingles are the most that this stage has on disk
+    there = sets.join(_little(cut(texts), 48), "text_hash").select("text_hash", "fp", "hashes", "searched")
     often = there.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     known = often.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()  # FREQUENT rows at most
     tokens, counts = (known.column(c).to_numpy() for c in ("token", "n"))
